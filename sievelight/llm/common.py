@@ -62,11 +62,19 @@ class BlockedBloom:
             mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
         return F.pmod(h, F.lit(self.blocks)), mask
 
+    def _probe(self, df: DataFrame, column: str, hit: bool) -> DataFrame:
+        block, mask = self._bits(F.col(column))
+        both = df.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(self.table), "_block", "inner" if hit else "left")
+        found = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        return both.where(found if hit else ~found).select(*df.columns)
+
     def maybe(self, df: DataFrame, column: str) -> DataFrame:
         """The rows of ``df`` whose key may be among the filter's keys; none that is among them is lost."""
-        block, mask = self._bits(F.col(column))
-        both = df.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(self.table), "_block")
-        return both.where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select(*df.columns)
+        return self._probe(df, column, True)
+
+    def surely_not(self, df: DataFrame, column: str) -> DataFrame:
+        """The other rows of ``df``."""
+        return self._probe(df, column, False)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
