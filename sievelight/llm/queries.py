@@ -3,22 +3,97 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import search
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .substring_dedup import remove_repeats
+from .url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed URLs are those of the pages whose label says toxic (page_id is the doc_id of a label)."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = pages.select("page_id", "url").join(labels.where("toxic = 1").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
+    return judge_urls(pages, bad)
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), block=16, period=1000)
+
+
+def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup, op10_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_minhash_near_dedup, op6_pfair_mixing, op9_hilbert_neighbours, op10_substring_dedup)}
+URL_SQL = r"""
+WITH listed_pages AS (SELECT p.url FROM pages p WHERE p.page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+every AS (SELECT page_id, url, 0 AS bad FROM pages UNION ALL SELECT NULL, url, 1 FROM listed_pages),
+rest AS (SELECT page_id, bad, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM every),
+parts AS (
+  SELECT page_id, bad,
+    coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest),
+keyed AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || rtrim(path, '/') END AS canonical FROM parts),
+bad AS (SELECT DISTINCT canonical FROM keyed WHERE bad = 1 AND canonical IS NOT NULL),
+ruled AS (
+  SELECT page_id, host, path, canonical, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/'
+  END AS rule
+  FROM keyed WHERE bad = 0)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  bad.canonical IS NOT NULL AS listed
+FROM ruled LEFT JOIN bad ON ruled.canonical = bad.canonical
+"""
+
+MIX_SQL = r"""
+WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
+share AS (SELECT source, weight / sum(weight) OVER () * (1000 - count(*) OVER ()) AS share FROM sizes),
+cut AS (SELECT source, CAST(floor(share) AS BIGINT) + 1 AS base, share - floor(share) AS rest FROM share),
+quota AS (
+  SELECT source, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, source NULLS FIRST) <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS quota,
+    row_number() OVER (ORDER BY coalesce('s' || source, 'n')) AS i
+  FROM cut),
+lists AS (SELECT list(CAST(quota AS BIGINT) ORDER BY i) AS q, count(*) AS k FROM quota),
+turn(t, done, pick) AS (
+  SELECT -1, list_transform(q, lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT) FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(range(1, k + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END), p
+  FROM (
+    SELECT t, done, k, list_min(list_transform(
+      list_filter(range(1, k + 1), lambda i: done[i] < q[i] AND done[i] * 1000 // q[i] <= t + 1),
+      lambda i: ((done[i] + 1) * 1000 + q[i] - 1) // q[i] * 1000000 + i)) % 1000000 AS p
+    FROM turn, lists WHERE t < 999)),
+plan AS (
+  SELECT source, quota, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS job, t AS slot
+  FROM turn JOIN quota ON turn.pick = quota.i WHERE t >= 0),
+placed AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY coalesce(md5(CAST(doc_id AS VARCHAR)), ''), doc_id) - 1 AS n FROM documents),
+blocks AS (SELECT doc_id, source, n // 16 AS block, n % 16 AS place FROM placed)
+SELECT doc_id, b.source, block, place, block // quota * 1000 + slot AS slot,
+  block // quota * 1000 + job * 1000 // quota AS release,
+  block // quota * 1000 + ((job + 1) * 1000 + quota - 1) // quota AS deadline,
+  (block // quota * 1000 + slot) * 16 + place AS mix_pos
+FROM blocks b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source AND b.block % p.quota = p.job
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op6_pfair_mixing": MIX_SQL}
