@@ -11,7 +11,8 @@ of all its words; no words, no set).  Two documents link when ``100 * |A n B| >=
     (uniform prior) is known from the matches, and a pair whose chance of reaching the threshold is below
     ``miss`` is dropped; those left are verified on the full sets.
 4.  Where a bucket still holds several components, its members outside the largest one are compared with
-    all its members of other components, in blocks of bounded size inside tasks, so that no link is lost.
+    all its members of other components, in blocks of bounded size inside tasks, by signature and then on
+    full sets, so that no link between components is lost and none within one is looked for.
 5.  Connected components over the verified links.
 
 Defined results: null or empty text has 0 shingles and stands alone; a null doc_id links with nothing,
@@ -168,30 +169,45 @@ def _sets(n: int):
 
 
 def _cross(percent: int, miss: float):
-    """Of one block of a bucket: the stragglers against the members of other components."""
+    """Of one block of a bucket: the stragglers against the members of other components, on signatures, then on full sets.
+
+    A straggler needs one link to each component, so one is returned.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         sig = _matrix(table.column("signature").combine_chunks())
         rep, comp, asks = (table.column(c).to_numpy() for c in ("rep", "component", "asks"))
-        ask, other = np.flatnonzero(asks), np.flatnonzero(~asks)
-        a, b = [], []
-        for i in ask:
-            at = other[comp[other] != comp[i]]
-            at = at[survivors(np.broadcast_to(sig[i], (len(at), HASHES)), sig[at], percent, miss)]
-            a.append(np.minimum(rep[i], rep[at]))
-            b.append(np.maximum(rep[i], rep[at]))
+        data, at = _binary(table.column("x").combine_chunks())
+        code, first = np.unique(data.view(np.uint64), return_inverse=True)[1], at // 8
+        size, mark = np.diff(first), np.zeros(len(code) + 1, bool)
+        other, a, b = np.flatnonzero(~asks), [], []
+        for i in np.flatnonzero(asks):
+            to = other[comp[other] != comp[i]]
+            to = to[survivors(np.broadcast_to(sig[i], (len(to), HASHES)), sig[to], percent, miss)]
+            mine = code[first[i] : first[i + 1]]
+            mark[mine] = True
+            both = K.segment_sum(mark[code[K.ranges(first[to], size[to])]].astype(np.int64), np.append(0, np.cumsum(size[to])))
+            mark[mine] = False
+            to = to[100 * both >= percent * (size[i] + size[to] - both)]
+            to = to[np.unique(comp[to], return_index=True)[1]]
+            a.append(np.minimum(rep[i], rep[to]))
+            b.append(np.maximum(rep[i], rep[to]))
         join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
         return pa.table({"a": join(a), "b": join(b)})
 
     return run
 
 
+def _full_sets(ids: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """``(id, x)``: the shingle sets of the named documents.  Only their texts leave the scan."""
+    few = BlockedBloom(ids, "id", ids.count()).maybe(docs, "doc_id")
+    return written(few.join(ids, few.doc_id == ids.id).select("doc_id", "text").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "id long, x binary"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs that pass on their full sets.  Only texts of documents in a pair leave the scan."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = BlockedBloom(ends, "id", pairs.count() * 2).maybe(docs, "doc_id")
-    sets = written(few.join(ends, few.doc_id == ends.id, "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n), "id long, x binary"))
+    """The pairs that pass on their full sets."""
+    sets = _full_sets(written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), docs, n)
     both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
     return written(both.mapInArrow(_exact(percent), "a long, b long"))
 
@@ -219,15 +235,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, miss:
     labelled = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("component"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.count("*").alias("kinds"), (F.sum("n") - F.max("n")).alias("asking")).where("kinds > 1")
-    mixed = written(labelled.join(main, "bucket").join(signs, "rep"))
+    mixed = written(labelled.join(main, "bucket"))
+    sets = _full_sets(written(mixed.select(F.col("rep").alias("id")).distinct()), docs, shingle)
+    mixed = mixed.join(signs, "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
     cell = lambda count: F.ceil(F.col(count) / block).cast("int")
     spot = lambda count: F.pmod(F.xxhash64("rep", "bucket"), cell(count)).cast("int")
-    asks = mixed.where("component <> main").select("bucket", "rep", "component", "signature", F.lit(True).alias("asks"), spot("asking").alias("i"), F.explode(F.sequence(F.lit(0), cell("size") - 1)).alias("j"))
-    told = mixed.select("bucket", "rep", "component", "signature", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), cell("asking") - 1)).alias("i"), spot("size").alias("j"))
+    asks = mixed.where("component <> main").select("bucket", "rep", "component", "signature", "x", F.lit(True).alias("asks"), spot("asking").alias("i"), F.explode(F.sequence(F.lit(0), cell("size") - 1)).alias("j"))
+    told = mixed.select("bucket", "rep", "component", "signature", "x", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), cell("asking") - 1)).alias("i"), spot("size").alias("j"))
     more = asks.unionByName(told).groupBy("bucket", "i", "j").applyInArrow(_cross(percent, miss), "a long, b long")
-    more = written(more.distinct().join(likely, ["a", "b"], "left_anti"))
-    links = links.union(_verified(more, docs, shingle, percent))
-    found = components(links)
+    found = components(links.union(more))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("found"))
     same = (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")) & (F.col("n_shingles") == F.col("n")) & F.col("doc_id").isNotNull()
     out = rows.select("doc_id", "n_shingles", "low", "high").join(named, same, "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
