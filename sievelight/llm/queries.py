@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality_rules import judge
+from .sentencepiece_sampling import encode_documents
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -27,10 +30,22 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), min_docs=20, share=0.05, keep=0.5)
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), block=16, period=1000)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), alpha=1.0, seed=8)
+
+
 def op9_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -39,7 +54,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_minhash_near_dedup, op6_pfair_mixing, op9_hilbert_neighbours, op10_substring_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
+}
 URL_SQL = r"""
 WITH listed_pages AS (SELECT p.url FROM pages p WHERE p.page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 every AS (SELECT page_id, url, 0 AS bad FROM pages UNION ALL SELECT NULL, url, 1 FROM listed_pages),
@@ -96,4 +114,35 @@ SELECT doc_id, b.source, block, place, block // quota * 1000 + slot AS slot,
 FROM blocks b JOIN plan p ON b.source IS NOT DISTINCT FROM p.source AND b.block % p.quota = p.job
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op6_pfair_mixing": MIX_SQL}
+LINE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS i
+  FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+t AS (SELECT rid, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM t WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, w, b, c) > 1),
+rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY rid),
+sizes AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY rid),
+cut AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (
+  SELECT rid, source, text, line, len(ws) AS n, array_to_string(ws, ' ') AS norm
+  FROM (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM cut)
+  WHERE len(ws) > 0),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
+hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
+common AS (
+  SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) l
+  JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE n > 20 AND n > 0.05 * texts),
+gone AS (SELECT rid, sum(n) AS n FROM lines l JOIN common c ON c.source IS NOT DISTINCT FROM l.source AND c.norm = l.norm GROUP BY rid),
+all_of AS (
+  SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+    coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
+  FROM d LEFT JOIN sizes USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CAST(gone AS BIGINT) AS n_line_words_removed,
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words) AS kept
+FROM all_of
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op4_line_quality": LINE_SQL, "op6_pfair_mixing": MIX_SQL}
