@@ -9,6 +9,7 @@ from .ann import search
 from .language_id import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .quality_classifier import classify
 from .quality_rules import judge
 from .sentencepiece_sampling import encode_documents
 from .substring_dedup import remove_repeats
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listed URLs are those of the pages whose label says toxic (page_id is the doc_id of a label)."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
@@ -56,7 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
+    for f in (op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
 }
 URL_SQL = r"""
 WITH listed_pages AS (SELECT p.url FROM pages p WHERE p.page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
