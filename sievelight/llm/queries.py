@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .language_id import identify
+from .lm_scoring import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .quality_classifier import classify
@@ -39,6 +40,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), min_docs=20, share=0.05, keep=0.5)
 
 
+def op5_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), block=16, period=1000)
 
@@ -61,7 +66,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
+    for f in (op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op5_gru_scores, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
 }
 URL_SQL = r"""
 WITH listed_pages AS (SELECT p.url FROM pages p WHERE p.page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
