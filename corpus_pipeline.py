@@ -1,8 +1,70 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Every stage but the last returns the columns of ``documents``; it works on all rows its predecessor kept.
+Rows with a null doc_id pass the filtering stages, as no decision can name them.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.llm.common import one_row_each, without, written
+from sievelight.llm.language_id import identify
+from sievelight.llm.mixing import mix
+from sievelight.llm.near_dedup import near_duplicates
+from sievelight.llm.sentencepiece_sampling import encode_documents
+from sievelight.llm.substring_dedup import strip_texts
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language stays unclear (best posterior under one half) go."""
+    found = identify(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return without(docs, found.where("rejected").select(F.col("doc_id").alias("id")))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (similarity 0.8 or more) stays, that with the smallest doc_id."""
+    found = near_duplicates(docs, percent=80)
+    return one_row_each(without(docs, found.where("not kept").select(F.col("doc_id").alias("id"))))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 20 words or more that stand in an earlier document go; a document left without a word goes too."""
+    cut = strip_texts(docs, size=20)
+    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.where("n_removed = 0 or n_left > 0").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture: source weights in proportion to the root of their sizes."""
+    places = mix(docs, block=16, period=1000).select(F.col("doc_id").alias("_id"), "mix_pos")
+    placed = docs.join(places.groupBy("_id").agg(F.min("mix_pos").alias("mix_pos")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartitionByRange(parts, "mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all texts, each checked to decode to its text."""
+    return encode_documents(docs, alpha=1.0, seed=8)
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_duplicate),
+    ("substring_dedup", repeated_passages),
+    ("mixing", mixture),
+    ("sentencepiece", pieces),
+]
+#: Signatures, sampled segmentations and the language model are not expressible in SQL; tests/llm checks the rows.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
+    return docs

@@ -62,15 +62,18 @@ class BlockedBloom:
             mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(g, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
         return F.pmod(h, F.lit(self.blocks)), mask
 
-    def _probe(self, df: DataFrame, column: str, hit: bool) -> DataFrame:
+    def _probe(self, df: DataFrame, column: str, hit: bool, keep_null: bool = False) -> DataFrame:
         block, mask = self._bits(F.col(column))
-        both = df.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(self.table), "_block", "inner" if hit else "left")
+        inner = hit and not keep_null
+        both = df.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(self.table), "_block", "inner" if inner else "left")
         found = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        if keep_null:
+            found = found | F.col(column).isNull()
         return both.where(found if hit else ~found).select(*df.columns)
 
-    def maybe(self, df: DataFrame, column: str) -> DataFrame:
-        """The rows of ``df`` whose key may be among the filter's keys; none that is among them is lost."""
-        return self._probe(df, column, True)
+    def maybe(self, df: DataFrame, column: str, keep_null: bool = False) -> DataFrame:
+        """The rows of ``df`` whose key may be among the filter's keys (or, if asked, is null); none among them is lost."""
+        return self._probe(df, column, True, keep_null)
 
     def surely_not(self, df: DataFrame, column: str) -> DataFrame:
         """The other rows of ``df``."""
@@ -99,3 +102,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids(id)``.
+
+    Only rows that a bounded Bloom filter of the ids lets through take part in the join; the texts of all
+    others stay in their scan.
+    """
+    ids = written(ids.where("id is not null").distinct())
+    bloom = BlockedBloom(ids, "id", ids.count())
+    near = bloom.maybe(docs, "doc_id").join(ids.withColumn("_gone", F.lit(True)), F.col("doc_id") == F.col("id"), "left")
+    return bloom.surely_not(docs, "doc_id").unionByName(near.where("_gone is null").select(*docs.columns))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row (any) of each doc_id that comes more than once; rows without one stay."""
+    ids = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    bloom = BlockedBloom(ids, "id", ids.count())
+    near = bloom.maybe(docs, "doc_id").where("doc_id is not null").dropDuplicates(["doc_id"])
+    return bloom.surely_not(docs, "doc_id").unionByName(near).unionByName(bloom.maybe(docs, "doc_id").where("doc_id is null"))

@@ -237,3 +237,44 @@ def _applied(docs: DataFrame, size: int) -> DataFrame:
     spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag")
     near = near.join(spans, (near["_id"] == spans["_id"]) & (near["tag"] == spans["_tag"]), "left").select(*docs.columns, "spans")
     return near.unionByName(far.select(*docs.columns, F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans")))
+
+
+def _strip_text(batches):
+    """Cuts the ranges' words, each with the white space behind it, out of the text; other columns pass."""
+    for batch in batches:
+        for part in K.slices(batch, "text"):
+            words = K.split_words(part.column("text"))
+            n, size = part.num_rows, len(words.data)
+            spans = part.column("spans")
+            count = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)
+            flat = spans.flatten()
+            text = np.repeat(np.arange(n), count)
+            begin = words.first[text] + flat.field("start").to_numpy(zero_copy_only=False)
+            end = np.minimum(words.first[text] + flat.field("stop").to_numpy(zero_copy_only=False), words.first[text + 1])
+            step = np.zeros(len(words.start) + 1, np.int64)
+            np.add.at(step, begin, 1)
+            np.add.at(step, end, -1)
+            gone = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+            lo = words.start[gone]
+            hi = np.minimum(np.append(words.start, size)[gone + 1], words.offsets[words.text[gone] + 1])
+            level = np.zeros(size + 1, np.int64)
+            np.add.at(level, lo, 1)
+            np.add.at(level, hi, -1)
+            keep = np.cumsum(level[:-1]) == 0
+            at = np.append(0, np.cumsum(keep))[words.offsets]
+            new = K.binary_column(words.data[keep], at, pa.string())
+            removed = np.bincount(words.text[gone], minlength=n)
+            untouched = pa.array(removed == 0)
+            columns = [pc.if_else(untouched, part.column("text"), new) if c == "text" else part.column(c) for c in part.schema.names if c != "spans"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(words.count - removed), pa.array(removed)], names=[*(c for c in part.schema.names if c != "spans"), "n_left", "n_removed"])
+
+
+def strip_texts(docs: DataFrame, size: int = 20) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text``, and the columns ``n_left`` and ``n_removed`` (words).
+
+    All columns of ``docs`` stay; texts without a repeat stay as they are, white space included.
+    """
+    tagged = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "tag": F.hash("text")})
+    applied = _applied(tagged, size)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema)
+    return applied.mapInArrow(_strip_text, f"{kinds}, n_left long, n_removed long").drop("tag")
