@@ -58,7 +58,7 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 1 << 21):
+def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 3 << 19):
     """Consecutive pieces of a batch with about ``max_bytes`` of text each; one longer text stands alone."""
     if not batch.num_rows:
         return

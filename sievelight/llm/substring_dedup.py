@@ -3,14 +3,16 @@
 A window is ``size`` consecutive words of one document.  A word goes if a window that covers it has a word
 sequence that starts earlier too: in a smaller doc_id, or in the same document at an earlier word.
 
-1.  Each window's minimiser is the smallest hash among its 3-word runs.  Consecutive windows with one
-    minimiser travel as a single packed string (a super-k-mer) to the minimiser's partition: about 28 words
-    for 9 windows.  Windows repeated within a task's slice are settled there, so a passage that a third of
+1.  Each window's minimiser is the smallest hash among its 5-word runs.  Consecutive windows with one
+    minimiser travel as a single packed string (a super-k-mer) to the minimiser's partition: about 27 words
+    for 8 windows.  Windows repeated within a task's slice are settled there, so a passage that a third of
     all documents share is sent once per slice, not once per document.
-2.  A partition is sorted by (minimiser, doc_id, start) by Spark, then streamed: windows are unpacked,
+2.  Equal windows have equal minimisers, so a run whose minimiser no other run has holds no repeat.  A first pass
+    counts minimisers; those found twice fill a bounded Bloom filter, and only runs that it passes are sent.
+3.  A partition is sorted by (minimiser, doc_id, start) by Spark, then streamed: windows are unpacked,
     sorted by their 128-bit hashes, and every one but the first is a repeat.  A task holds a bounded piece
     and the distinct windows of one minimiser.
-3.  Repeats come back as word ranges and are joined to their documents; a bounded Bloom filter of the
+4.  Repeats come back as word ranges and are joined to their documents; a bounded Bloom filter of the
     documents concerned keeps all other texts out of that shuffle.
 
 Defined results: null or empty text has no words; the digest of no words is that of the empty string; a
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import BlockedBloom, pick, written
 
-RUN = 3
+RUN = 5
 LAST = (1 << 63) - 1
 PACKED = "least long, doc_id long, tag int, start int, stop int, words binary"
 RANGES = "doc_id long, tag int, start int, stop int"
@@ -82,70 +84,91 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.append(first[1:], len(breaks)) - 1
 
 
+def _cut(part: pa.RecordBatch, size: int):
+    """The windows of a slice: repeats settled here, and the runs of one minimiser among the others."""
+    words = K.split_words(part.column("text"))
+    hashes = words.hashes()
+    one, at = K.windows(words, hashes, size)
+    if not len(at):
+        return None
+    two, _ = K.windows(words, words.hashes(K.BASES[1]), size, K.WORD_BASES[1])
+    ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+    text = words.text[at]
+    start = at - words.first[text]
+    again = _repeats(one, two, ids[text], start)
+    gap = np.ones(len(at), bool)
+    gap[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
+    power, _ = K.powers(K.WORD_BASES[1], RUN)
+    run = min(RUN, size)
+    grams = np.zeros(len(hashes) - run + 1, np.uint64)
+    for j in range(run):
+        grams += hashes[j : len(grams) + j] * power[j]
+    least = _sliding_min(K.mix64(grams), size - run + 1)[at]
+
+    def runs(held, same_least):
+        if not len(held):
+            return held, held
+        cut = np.ones(len(held), bool)
+        cut[1:] = (held[1:] != held[:-1] + 1) | gap[held[1:]]
+        if same_least:
+            cut[1:] |= least[held[1:]] != least[held[:-1]]
+        a, b = _runs(cut)
+        return held[a], held[b]
+
+    return words, ids, at, text, start, least, runs(np.flatnonzero(again), False), runs(np.flatnonzero(~again), True)
+
+
+def _minimisers(size: int):
+    """``(least, n)``: how many runs of each minimiser a slice would send."""
+
+    def run(batches):
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                found = _cut(part, size)
+                if found:
+                    key, n = np.unique(found[5][found[7][0]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["least", "n"])
+
+    return run
+
+
 def _pack(size: int):
     def run(batches):
         for batch in batches:
-            for part in K.slices(batch, "text", 1 << 22):
+            for part in K.slices(batch, "text"):
                 yield from pack(part)
 
     def pack(part):
-        words = K.split_words(part.column("text"))
-        first_hash, second_hash = words.hashes(), words.hashes(K.BASES[1])
-        one, at = K.windows(words, first_hash, size)
-        if not len(at):
+        found = _cut(part, size)
+        if not found:
             return
-        two, _ = K.windows(words, second_hash, size, K.WORD_BASES[1])
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        words, ids, at, text, start, least, (a, b), (c, d) = found
         tags = part.column("tag").to_numpy(zero_copy_only=False).astype(np.int32)
-        text = words.text[at]
-        start = at - words.first[text]
-        again = _repeats(one, two, ids[text], start)
-        # repeats found here leave as ranges; they need no bucket
-        gap = np.ones(len(at), bool)
-        gap[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1])
-        held = np.flatnonzero(again)
-        if len(held):
-            cut = np.ones(len(held), bool)
-            cut[1:] = (held[1:] != held[:-1] + 1) | gap[held[1:]]
-            a, b = _runs(cut)
-            a, b = held[a], held[b]
-            yield rows(K.mix64(ids[text[a]].view(np.uint64)).view(np.int64), ids[text[a]], tags[text[a]], start[a], start[b] + size, np.zeros(0, np.uint8), np.zeros(len(a) + 1, np.int64))
-        power, _ = K.powers(K.WORD_BASES[1], RUN)
-        grams = np.zeros(len(first_hash) - RUN + 1, np.uint64)
-        for j in range(RUN):
-            grams += first_hash[j : len(grams) + j] * power[j]
-        least = _sliding_min(K.mix64(grams), size - RUN + 1)[at]
-        sent = np.flatnonzero(~again)
-        if not len(sent):
-            return
-        cut = np.ones(len(sent), bool)
-        cut[1:] = (sent[1:] != sent[:-1] + 1) | gap[sent[1:]] | (least[sent[1:]] != least[sent[:-1]])
-        a, b = _runs(cut)
-        a, b = sent[a], sent[b]
-        data, where = joined(words)
-        begin, end = where[at[a]], where[at[b] + size] - 1
-        yield rows(least[a].view(np.int64), ids[text[a]], tags[text[a]], start[a], start[b] + size, K.gather(data, begin, end), np.append(0, np.cumsum(end - begin)))
+        if len(a):  # repeats found here leave as ranges; they need no bucket
+            yield rows(None, ids[text[a]], tags[text[a]], start[a], start[b] + size, np.zeros(0, np.uint8), np.zeros(len(a) + 1, np.int64))
+        if len(c):
+            data, where = joined(words)
+            begin, end = where[at[c]], where[at[d] + size] - 1
+            yield rows(least[c].view(np.int64), ids[text[c]], tags[text[c]], start[c], start[d] + size, K.gather(data, begin, end), np.append(0, np.cumsum(end - begin)))
 
     def rows(least, doc, tag, start, stop, data, offsets):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(least, pa.int64()), pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), K.binary_column(data, offsets)],
-            names=["least", "doc_id", "tag", "start", "stop", "words"],
-        )
+        least = pa.nulls(len(doc), pa.int64()) if least is None else pa.array(least, pa.int64())
+        return pa.RecordBatch.from_arrays([least, pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), K.binary_column(data, offsets)], names=["least", "doc_id", "tag", "start", "stop", "words"])
 
     return run
 
 
-def _count(size: int, max_bytes: int = 1 << 22):
+def _count(size: int):
     """Streams rows in (least, doc_id, start) order and yields the ranges of repeated windows."""
 
     def run(batches):
         seen = None  # (minimiser, hashes, second hashes, doc, start) of the last minimiser's distinct windows
         for batch in batches:
-            for part in K.slices(batch, "words", max_bytes):
-                local = part.filter(pc.equal(pc.binary_length(part.column("words")), 0))
+            for part in K.slices(batch, "words"):
+                local = part.filter(pc.is_null(part.column("least")))
                 if local.num_rows:
                     yield local.select(["doc_id", "tag", "start", "stop"])
-                part = part.filter(pc.greater(pc.binary_length(part.column("words")), 0))
+                part = part.filter(pc.is_valid(part.column("least")))
                 if part.num_rows:
                     out, seen = piece(part, seen)
                     if out.num_rows:
@@ -214,8 +237,12 @@ def _strip(text_out: bool):
 
 def repeated_ranges(docs: DataFrame, size: int = 20) -> DataFrame:
     """``(doc_id, tag, start, stop)``: word ranges of ``docs(doc_id, tag, text)`` that repeat earlier ones; they may overlap."""
-    packed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST))).mapInArrow(_pack(size), PACKED)
-    dealt = packed.repartition(F.col("least")).sortWithinPartitions("least", "doc_id", "start")
+    docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
+    shared = written(docs.select("doc_id", "text").mapInArrow(_minimisers(size), "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least"))
+    bloom = BlockedBloom(shared, "least", shared.count(), max_blocks=1 << 20)
+    packed = bloom.maybe(docs.mapInArrow(_pack(size), PACKED), "least", keep_null=True)
+    # rows without a minimiser are settled ranges; they are dealt by document
+    dealt = packed.repartition(F.coalesce("least", F.xxhash64("doc_id"))).sortWithinPartitions("least", "doc_id", "start")
     return dealt.mapInArrow(_count(size), RANGES)
 
 
