@@ -79,9 +79,9 @@ def train(docs: DataFrame, max_rows: int = 2000, max_languages: int = 64) -> tup
     rate = F.create_map(*[F.lit(x) for p in share.items() for x in p])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) / (1 << 20)
     sample = known.where(F.col("lang").isin(languages) & (draw < rate[F.col("lang")]))
-    cells = sample.select("text", "lang").mapInArrow(_counted(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = sample.select("text", "lang").mapInArrow(_counted(languages), "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(languages), CELLS), 0.5)
-    table[cells.lang.to_numpy(int), cells.cell.to_numpy(int)] += cells.n.to_numpy(float)
+    table[cells.column("lang").to_numpy(), cells.column("cell").to_numpy()] += cells.column("n").to_numpy()
     return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 

@@ -65,3 +65,9 @@ def salts_for(requests: DataFrame, shards: int, group_bytes: int) -> int:
     """How many salts split a shard's requests into groups of about ``group_bytes``."""
     sent = requests.agg(F.sum(F.length("keys") + F.length("size") + F.length("docs") + F.length("times")).alias("b")).first().b or 0
     return max(1, math.ceil(sent / (shards * group_bytes)))
+
+
+def columns(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a table of bounded size, as arrays on the driver."""
+    table = df.toArrow().combine_chunks()
+    return {name: table.column(name).to_numpy().copy() for name in table.column_names}
