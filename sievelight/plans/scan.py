@@ -60,7 +60,8 @@ def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
         hits = F.when(of([p.first_only for _, p in listed], k), F.slice(hits, 1, 1)).otherwise(hits)
         return F.transform(hits, lambda m: F.struct(k.alias("k"), m["idx"].alias("idx"), m["match"].alias("match")))
 
-    docs = docs.withColumn("hits", F.when(F.size("hit") > 0, F.flatten(F.transform("hit", all_of))).otherwise(F.array().cast("array<struct<k: int, idx: int, match: string>>")))
+    none = F.array().cast("array<struct<k: int, idx: int, match: string>>")
+    docs = docs.withColumn("hits", F.when(F.size("hit") > 0, F.flatten(F.transform("hit", all_of))).otherwise(none) if listed else none)
     rule_of = [i for i, _ in listed]
 
     def tagged(rule: Column, x: Column) -> Column:
@@ -79,8 +80,7 @@ def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
                 out = F.when(k == n, p.report(doc, at, match)).otherwise(out)
         return F.struct(of(rule_of, k).alias("rule"), out.alias("x"))
 
-    ready = F.filter(F.transform("hits", reported), lambda r: r["x"].isNotNull())
-    pieces = [F.transform(ready, lambda r: tagged(r["rule"], r["x"]))] if listed else []
+    pieces = [F.transform(F.filter(F.transform("hits", reported), lambda r: r["x"].isNotNull()), lambda r: tagged(r["rule"], r["x"]))] if listed else []
     for i, r in enumerate(rules):
         if r.scan:
             pieces.append(_own(r, i, doc, tagged))
