@@ -221,7 +221,8 @@ def chat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as markup files, all rules: files and findings by rule."""
+    """Web pages as markup files, all rules: pages and findings by declared language."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
-    rows = enrich(raw_findings(pages))
-    return rows.groupBy("rule_id").agg(F.count_distinct("file").alias("files"), F.count("*").alias("findings"))
+    found = raw_findings(pages).select("path", F.size("raw").alias("n"))
+    kinds = pages.select("path", F.regexp_extract("text", r'<html lang="([^"]*)"', 1).alias("lang"))
+    return kinds.join(found, "path", "left").groupBy("lang").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
