@@ -7,6 +7,7 @@ Null texts count as empty.  Words are maximal runs of bytes outside ``[\\x20\\x0
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +59,15 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 3 << 19):
+def release() -> None:
+    """Gives free memory of the allocators back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 3 << 18):
     """Consecutive pieces of a batch with about ``max_bytes`` of text each; one longer text stands alone."""
     if not batch.num_rows:
         return
@@ -69,6 +78,7 @@ def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 3 << 19):
         stop = max(start + 1, int(np.searchsorted(ends, done + max_bytes, "right")))
         yield batch.slice(start, stop - start)
         start, done = stop, ends[stop - 1]
+    release()
 
 
 @dataclass
