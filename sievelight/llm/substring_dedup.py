@@ -9,6 +9,8 @@ sequence that starts earlier too: in a smaller doc_id, or in the same document a
     all documents share is sent once per slice, not once per document.
 2.  Equal windows have equal minimisers, so a run whose minimiser no other run has holds no repeat.  A first pass
     counts minimisers; those found twice fill a bounded Bloom filter, and only runs that it passes are sent.
+    A window that a slice of the first pass holds twice counts as two, since the second pass may slice
+    the rows elsewhere and part the two.
 3.  A partition is sorted by (minimiser, doc_id, start) by Spark, then streamed: windows are unpacked,
     sorted by their 128-bit hashes, and every one but the first is a repeat.  A task holds a bounded piece
     and the distinct windows of one minimiser.
@@ -119,14 +121,15 @@ def _cut(part: pa.RecordBatch, size: int):
 
 
 def _minimisers(size: int):
-    """``(least, n)``: how many runs of each minimiser a slice would send."""
+    """``(least, n)``: how many runs of each minimiser a slice holds, one more for those of windows that repeat in it."""
 
     def run(batches):
         for batch in batches:
             for part in K.slices(batch, "text"):
                 found = _cut(part, size)
                 if found:
-                    key, n = np.unique(found[5][found[7][0]], return_counts=True)
+                    least, (a, b), (c, _) = found[5:]
+                    key, n = np.unique(np.append(least[c], np.unique(least[K.ranges(a, b - a + 1)])), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], names=["least", "n"])
 
     return run

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+
+from sievelight.llm import substring_dedup as S
 from sievelight.llm.substring_dedup import remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,5 +43,33 @@ def test_matches_brute_force(spark):
         assert sorted(map(tuple, got.collect()), key=str) == brute(rows, size)
 
 
+def test_passes_may_slice_differently(spark, monkeypatch):
+    """Repeats that one slice of the first pass holds together stand in two slices of the second."""
+    rng = random.Random(9)
+    passages = [" ".join(f"q{k}_{i}" for i in range(50)) for k in range(8)]
+    rows = [(d, " ".join([f"a{rng.random()}", passages[d // 2 % 8] if d < 16 else "", f"b{rng.random()}"])) for d in range(24)]
+    first, second = S._minimisers, S._pack
+
+    def whole(size):
+        run = first(size)
+        return lambda batches: run(pa.Table.from_batches(list(batches)).combine_chunks().to_batches())
+
+    def single(size):
+        run = second(size)
+        return lambda batches: run(b.slice(i, 1) for b in batches for i in range(b.num_rows))
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(S, "_minimisers", whole)
+    monkeypatch.setattr(S, "_pack", single)
+    assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows, 20)
+    monkeypatch.undo()
+    old = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000")
+    try:
+        assert sorted(map(tuple, remove_repeats(df).collect()), key=str) == brute(rows, 20)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, TEXT int")).count() == 0
