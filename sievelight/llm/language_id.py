@@ -16,7 +16,10 @@ language and of the address suffix + the log prior of the host.
 All of these are grouped aggregations over the whole table; what is broadcast is the n-gram table (its size
 is fixed) and the prior tables of suffixes.  Host priors are joined by host, with hot hosts left to AQE.
 
-A document is rejected if its best posterior is below ``least``.
+A document is rejected if its best posterior is below ``least``, or if no trained language explains its (scaled)
+text better than a background that gives every cell the same probability; such a text is in none of the
+languages, so it does not count for cues and hosts either.  The test is as sharp as the training is large: a
+language with few grams gives unseen cells little less than the background does.
 
 Defined results: a null or wordless text has no text evidence, so the other evidence decides, and it is not
 rejected for its text; a null doc_id meets no page; a null source is a host of its own; repeated rows are
@@ -68,10 +71,10 @@ def _counted(languages: list[str]):
     return run
 
 
-def train(docs: DataFrame, max_rows: int = 2000, max_languages: int = 64) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, max_rows: int = 2000) -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of each cell, from at most ``max_rows`` labelled rows a language."""
     known = docs.where("lang is not null and lang <> '' and text is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = known.groupBy("lang").count().collect()  # one row a language
     languages = sorted(r.lang for r in sizes)
     if not languages:
         return ["und"], np.full((1, CELLS), -np.log(CELLS), np.float32)
@@ -124,10 +127,11 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 20
         scored = scored.withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "host")})
     scale = F.when(F.col("grams") > evidence, F.lit(evidence) / F.col("grams")).otherwise(F.lit(1.0))
     scored = scored.withColumn("text_log", F.transform("likelihood", lambda x: x * scale))
+    unknown = F.array_max("text_log") < F.col("grams") * scale * -float(np.log(CELLS)) - 1e-4
     best = F.array_position("text_log", F.array_max("text_log")).cast("int") - 1
     host = F.coalesce("host", F.concat(F.lit("source:"), F.coalesce("source", F.lit("?"))))
-    scored = written(scored.withColumns({"best": F.when(F.col("grams") > 0, best), "host": host, "zone": F.element_at(F.split(host, r"\."), -1)}).drop("likelihood"))
-    sure = scored.where("best is not null")
+    scored = written(scored.withColumns({"best": F.when(F.col("grams") > 0, best), "unknown": unknown, "host": host, "zone": F.element_at(F.split(host, r"\."), -1)}).drop("likelihood"))
+    sure = scored.where("best is not null and not unknown")
     # P(cue | language): how often a language's documents carry the cue
     cue = {}
     for name in ("declared", "suffix"):
@@ -164,5 +168,5 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 20
     name = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("logs", top).cast("int"))
     text_name = F.when(F.col("best").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in languages]), F.col("best") + 1))
     sure_of = 1.0 / F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
-    out = out.select("doc_id", name.alias("language"), sure_of.alias("posterior"), text_name.alias("text_language"), "declared", "suffix", "host", "grams")
-    return out.select("doc_id", "language", "posterior", "text_language", "declared", "suffix", "host", (F.col("posterior") < least).alias("rejected"))
+    out = out.select("doc_id", name.alias("language"), sure_of.alias("posterior"), text_name.alias("text_language"), "declared", "suffix", "host", "unknown")
+    return out.select("doc_id", "language", "posterior", "text_language", "declared", "suffix", "host", (F.col("unknown") | (F.col("posterior") < least)).alias("rejected"))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from sievelight.llm import kernels as K
-from sievelight.llm.language_id import CELLS, identify
+from sievelight.llm.language_id import CELLS, identify, train
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 VOCAB = {"en": ["the", "of", "and", "house", "thing", "with", "river"], "de": ["der", "und", "straße", "schön", "nicht", "haus", "zeit"], "fr": ["le", "être", "maison", "avec", "où", "rivière", "et"]}
@@ -118,3 +118,25 @@ def test_empty_and_unlabelled(spark):
     r = identify(spark.createDataFrame([(1, "a b", None, None)], schema)).first()
     assert (r.language, r.rejected) == ("und", False)
     assert K.split_words is not None
+
+
+def test_texts_in_no_trained_language_are_rejected(spark):
+    rng = random.Random(8)
+    docs = [(d, " ".join(rng.choice(VOCAB[x]) for _ in range(600)), x, "s") for d, x in enumerate(["en", "en", "en", "de", "fr"] * 40)]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności",
+        "Все люди рождаются свободными и равными в своём достоинстве",
+        "人人生而自由 在尊严和权利上一律平等",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan",
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)),
+        "#*$% &|<> ~~^^ " * 20,
+        " ".join(str(rng.randint(0, 99999)) for _ in range(40)),
+    ]
+    docs += [(1000 + i, t, None, "s") for i, t in enumerate(other)] + [(2000, None, None, "s"), (2001, "", None, "s")]
+    got = {r.doc_id: r.rejected for r in identify(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d for d, x in got.items() if x} == set(range(1000, 1000 + len(other)))
+
+
+def test_every_labelled_language_is_trained(spark):
+    docs = spark.createDataFrame([(i, f"text{i}", f"l{i:02}") for i in range(70)], "doc_id long, text string, lang string")
+    assert train(docs)[0] == [f"l{i:02}" for i in range(70)]
