@@ -36,17 +36,23 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut.where("n_removed = 0 or n_left > 0").select(*docs.columns)
 
 
+def _places(docs: DataFrame) -> DataFrame:
+    """``(_id, mix_pos)``: the place of each doc_id in the mixture."""
+    places = mix(docs, block=16, period=1000).select(F.col("doc_id").alias("_id"), "mix_pos")
+    return places.groupBy("_id").agg(F.min("mix_pos").alias("mix_pos"))
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: source weights in proportion to the root of their sizes."""
-    places = mix(docs, block=16, period=1000).select(F.col("doc_id").alias("_id"), "mix_pos")
-    placed = docs.join(places.groupBy("_id").agg(F.min("mix_pos").alias("mix_pos")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    placed = docs.join(_places(docs), F.col("doc_id").eqNullSafe(F.col("_id")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return placed.repartitionByRange(parts, "mix_pos").sortWithinPartitions("mix_pos").select(*docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of all texts, each checked to decode to its text."""
-    return encode_documents(docs, alpha=1.0, seed=8)
+    """Sampled segmentations of all texts, each checked to decode to its text, and their places in the mixture."""
+    encoded = encode_documents(docs, alpha=1.0, seed=8)
+    return encoded.join(_places(docs), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*encoded.columns, "mix_pos")
 
 
 STAGES = [

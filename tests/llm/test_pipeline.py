@@ -1,6 +1,7 @@
 import os
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -8,6 +9,7 @@ import corpus_pipeline
 from sievelight.llm import sentencepiece_sampling as S
 from tests.llm.test_language_id import VOCAB
 from tests.llm.test_language_id import brute as brute_language
+from tests.llm.test_mixing import brute as brute_mix
 from tests.llm.test_near_dedup import brute as brute_near
 
 pytestmark = pytest.mark.skipif(not os.path.exists(S.MODEL), reason="no model file")
@@ -78,3 +80,14 @@ def test_stages_keep_columns_and_empty_tables(spark, corpus, tmp_path):
             assert out.count() <= df.count()
     mixed = corpus_pipeline.mixture(spark, spark.createDataFrame(docs, COLUMNS), str(tmp_path))
     assert mixed.count() == len(docs)
+
+
+def test_run_follows_the_schedule(spark, corpus, tmp_path):
+    docs, pages = corpus
+    spark.createDataFrame(docs, COLUMNS).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.doc_id: r.mix_pos for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    source = {d[0]: d[3] for d in docs}
+    rows = [(d, source[d]) for d in got]
+    weights = {s: n**0.5 for s, n in Counter(s for _, s in rows).items()}
+    assert got == {r[0]: r[7] for r in brute_mix(rows, weights, 16, 1000)[0]}
