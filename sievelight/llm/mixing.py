@@ -63,7 +63,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, peri
 
     ``mix_pos`` orders the mixture: slot times block size plus the place in the block.  ``weights(source,
     weight)`` names every source that is to be mixed; by default rows to the power 0.5.  Sources that it
-    leaves out get the smallest weight.  ``period`` must be at least twice the number of sources.
+    leaves out get the smallest weight.  With more than ``period / 2`` sources the period is the power of
+    two that is at least four times their number, so every source has a slot and weights still decide.
     """
     rows = pick(docs, doc_id="long", source="string").withColumn("digest", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")))
     rows = rows.withColumn("bucket", F.coalesce(F.floor(F.conv(F.substring("digest", 1, 3), 16, 10).cast("int") * buckets / 4096), F.lit(0)))
@@ -76,6 +77,9 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = 16, peri
     index = F.col("offset") + F.col("n") - 1
     blocks = placed.select("doc_id", "source", F.floor(index / block).alias("block"), F.pmod(index, F.lit(block)).alias("place"))
     present = sizes.select("source").distinct()
+    sources = present.count()
+    if 2 * sources > period:
+        period = 1 << (4 * sources - 1).bit_length()
     given = temperature_weights(docs) if weights is None else pick(weights, source="string", weight="double").where("weight > 0").groupBy("source").agg(F.sum("weight").alias("weight"))
     least = F.min("weight").over(Window.partitionBy(F.lit(1)))
     given = present.join(given.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select("source", F.coalesce(F.col("weight"), least, F.lit(1.0)).alias("weight"))

@@ -61,3 +61,11 @@ def test_empty_and_single(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id long, source string")
     assert sorted(r.mix_pos for r in mix(df, block=1).collect()) == [0, 1]
     assert mix(df.limit(0)).count() == 0
+
+
+def test_more_sources_than_slots(spark):
+    rows = [(i, f"s{i % 1500}") for i in range(1800)] + [(5000 + i, "hot") for i in range(600)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert sorted((r.doc_id, r.source) for r in got) == sorted(rows)
+    assert len({r.mix_pos for r in got}) == len(rows)
+    assert all(r.release <= r.slot < r.deadline for r in got)
