@@ -214,7 +214,7 @@ class Tokens:
         """Numbers and n+1 offsets, and which words are outside the list."""
         hit, number = self.top.find(hashes)
         first = words.first + np.arange(len(words.first))
-        out = np.full(first[-1], self.end, np.int16)
+        out = np.full(first[-1], self.end, np.int32)
         out[K.ranges(first[:-1], words.count)] = np.where(hit, number, self.bucket_ids[buckets_of(words)])
         return out, first, ~hit
 
@@ -371,8 +371,13 @@ def _answer(requests: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array(join(out[0], np.int64), pa.int64()), "more": pa.array(join(out[1], float), pa.float64()), "seen": pa.array(join(out[2], np.int64), pa.int64())})
 
 
-def score_documents(docs: DataFrame, vocabulary: int = 4000, hidden: int = 24, classes: int = 64, rounds: int = 3, every: int = 20, lanes: int = 512, train_lanes: int = 64, window: int = 32, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
-    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``, in log10."""
+def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int = 24, classes: int | None = None, rounds: int = 3, every: int | None = None, lanes: int = 512, train_lanes: int = 64, window: int = 32, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
+    """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``, in log10.
+
+    Round r trains on the documents of one hash residue of ``every``, by default ``rounds``, so that each trains once.
+    The vocabulary grows by default with the root of the training tokens, the classes with the root of the vocabulary.
+    """
+    every = every or rounds
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = pick(docs, doc_id="long", text="string").withColumn("held_out", crc % 5 == 1)
     learn = rows.where(~F.col("held_out"))
@@ -380,6 +385,8 @@ def score_documents(docs: DataFrame, vocabulary: int = 4000, hidden: int = 24, c
     ends = learn.count()
     whole = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     train_tokens, distinct = whole.n + ends, whole.v + (ends > 0)
+    vocabulary = vocabulary or max(4000, 2 * math.isqrt(train_tokens))
+    classes = classes or max(64, math.isqrt(vocabulary))
     heads = columns(counts.orderBy(F.desc("n"), "word").limit(max(head, vocabulary)).select("word", "bucket", "n"))
     top = {name: x[:vocabulary] for name, x in heads.items()}
     sums = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()  # one row a bucket

@@ -119,3 +119,22 @@ def test_empty(spark):
     assert L.score_documents(spark.createDataFrame([], "doc_id long, text string"), rounds=1).count() == 0
     only = L.score_documents(spark.createDataFrame([(1, "a")], "doc_id long, text string"), rounds=1).first()
     assert only.n_tokens == 2 and math.isfinite(only.score)
+
+
+def test_defaults_train_on_every_document_with_a_growing_vocabulary(spark, monkeypatch):
+    rng = random.Random(3)
+    df = spark.createDataFrame([(d, " ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(1, 20)))) for d in range(200)], "doc_id long, text string")
+    mean, seen, sizes = L._averaged, [], []
+
+    def averaged(parts, net):
+        seen.append(sum(r.n for r in parts.select("n").collect()))
+        sizes.append(len(net.p["emb"]))
+        mean(parts, net)
+
+    monkeypatch.setattr(L, "_averaged", averaged)
+    row = L.score_documents(df, hidden=4, lanes=16, train_lanes=8).first()
+    assert sum(seen) == row.train_tokens and all(seen)
+    monkeypatch.setattr(L.math, "isqrt", lambda n: 4500)  # stands for the root of the tokens
+    many = spark.createDataFrame([(d, " ".join(f"v{d}x{i}" for i in range(500))) for d in range(20)], "doc_id long, text string")
+    L.score_documents(many, hidden=4, classes=64, rounds=1, every=1000, lanes=16, train_lanes=8).first()
+    assert sizes[-1] > 7000
