@@ -8,13 +8,16 @@ group recurses once per round in Java, and a long enough text would overflow the
 from __future__ import annotations
 
 import re
+from re import _constants as sre
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The white space of ECMAScript beyond Java's \s, and an ASCII word boundary.
 WIDE = r"\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
-BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+BOUNDARY = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 LINE_START = r"(?<![^\n\r\x{2028}\x{2029}])"
 
 _TOKEN = re.compile(r"\[\^\\S\\n\]|\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\.|\[\^?\]?|\]|\^|\$|\)(?:\*|\{\d+,\})(?![+?])|.", re.S)
@@ -56,28 +59,108 @@ def java(pattern: str, flags: str = "") -> str:
     return ("(?i)" if "i" in flags else "") + "".join(out)
 
 
-MATCH = "array<struct<idx: int, match: string>>"
+def needles(pattern: str) -> tuple[tuple[str, ...], ...]:
+    """What a text must contain, in lower case, to match: one literal of each group.  Finding literals is much cheaper than a pattern."""
+
+    def one(op, arg) -> list[frozenset]:
+        if op is sre.SUBPATTERN:
+            return of(arg[-1])
+        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
+            return of(arg[2])
+        if op is sre.BRANCH:
+            groups = [of(branch) for branch in arg[1]]
+            return [frozenset().union(*(max(g, key=worth) for g in groups))] if all(groups) else []
+        return []
+
+    def worth(group: frozenset) -> tuple[int, int]:
+        return min(map(len, group)), -len(group)
+
+    def of(items) -> list[frozenset]:
+        out, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is sre.LITERAL:
+                run += chr(arg).lower()
+                continue
+            if run.strip():
+                out.append(frozenset([run]))
+            run = ""
+            if op is not None:
+                out += one(op, arg)
+        return out
+
+    return tuple(tuple(sorted(g)) for g in dict.fromkeys(of(_parser.parse(pattern))))
+
+
+def literal(text: str) -> str:
+    """A text as an SQL literal of Spark."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def holds(lower: str, groups: tuple[tuple[str, ...], ...]) -> str:
+    """SQL: whether a column of lower-cased texts has a literal of each group."""
+    each = [" or ".join(f"contains({lower}, {literal(x)})" for x in group) for group in sorted(groups, key=lambda g: (len(g), -min(map(len, g))))]
+    return " and ".join(f"({x})" for x in each) or "true"
+
+
+MATCH = "array<struct<idx: int, units: int, match: string>>"
+BLOCK = 256  # matches in a row before they are put aside
+PIECE = 1024  # characters of a text piece
+
+
+def once(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often it reads it."""
+    return F.transform(F.array(value), make)[0]
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
-    """``array<struct<idx, match>>``: offsets (in code points) and texts of all matches of a Java pattern.
+    """``array<struct<idx, units, match>>``: offsets (in code points, and in UTF-16 units) and texts of all matches of a Java pattern.
 
-    The pattern must consume something.  It may differ by row, so one expression serves many patterns.
+    The pattern must consume something.  It may differ by row, so one expression serves many patterns.  Spark copies what an
+    aggregation has gathered at every step, so offsets are summed block by block: first the blocks' lengths, then within each.
     """
     p = pattern if isinstance(pattern, Column) else F.lit(pattern)
     found, between = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, p, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
+    more = lambda x: F.regexp_count(x, F.lit(SUPPLEMENTARY))
+    after = lambda acc, x: (acc["at"] + x["skip"] + x["size"], acc["units"] + x["skip_units"] + x["units"])
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("units"))
+
+    def pair(a, b):
+        skip, size = F.length(b), F.length(a)
+        return F.struct(a.alias("match"), skip.alias("skip"), size.alias("size"), (skip + more(b)).alias("skip_units"), (size + more(a)).alias("units"))
+
+    def moved(acc, x):
+        at, units = after(acc, x)
+        return F.struct(at.alias("at"), units.alias("units"))
 
-    def add(acc, x):
-        at = acc["at"] + F.length(x["between"])
-        return F.struct((at + F.length(x["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("idx"), x["found"].alias("match")))).alias("out"))
+    def summed(acc, x):
+        now = F.get(acc, F.size(acc) - 1)
+        return F.concat(acc, F.array(F.struct((now["at"] + x["at"]).alias("at"), (now["units"] + x["units"]).alias("units"))))
+
+    def located(block, start):
+        def add(acc, x):
+            at, units = after(acc, x)
+            one = F.struct((acc["at"] + x["skip"]).alias("idx"), (acc["units"] + x["skip_units"]).alias("units"), x["match"].alias("match"))
+            return F.struct(at.alias("at"), units.alias("units"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+        return F.aggregate(block, F.struct(start["at"].alias("at"), start["units"].alias("units"), F.array().cast(MATCH).alias("out")), add, lambda acc: acc["out"])
 
     # the piece behind the last match meets no match and is left out
-    pairs = F.filter(F.zip_with(found, between, lambda a, b: F.struct(a.alias("found"), b.alias("between"))), lambda x: x["found"].isNotNull())
-    return F.aggregate(pairs, start, add, lambda acc: acc["out"])
+    pairs = F.filter(F.zip_with(found, between, pair), lambda x: x["match"].isNotNull())
+    blocks = once(pairs, lambda ps: F.transform(F.sequence(F.lit(0), F.floor((F.size(ps) - 1) / BLOCK).cast("int")), lambda i: F.slice(ps, i * BLOCK + 1, F.lit(BLOCK))))
+    starts = lambda bs: F.aggregate(F.transform(bs, lambda b: F.aggregate(b, zero, moved)), F.array(zero), summed)
+    out = once(blocks, lambda bs: once(starts(bs), lambda at: F.flatten(F.transform(bs, lambda b, i: located(b, F.get(at, i))))))
+    return F.when(F.size(found) > 0, out).otherwise(F.array().cast(MATCH))
+
+
+def pieces(text: Column) -> Column:
+    """A text in pieces of ``PIECE`` characters, so that a window far into it is found without walking there."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
 
 
-def around(text: Column, at: Column, radius: int) -> Column:
-    """Up to ``radius`` characters on either side of an offset."""
-    begin = F.greatest(at - radius, F.lit(0))
-    return F.substring(text, begin + 1, at + radius - begin)
+def around(parts: Column, at: Column, radius: int) -> Column:
+    """Up to ``radius`` (at most ``PIECE``) characters on either side of an offset of the text in :func:`pieces`."""
+    n = F.floor(at / PIECE).cast("int")
+    near = F.concat_ws("", F.get(parts, n - 1), F.get(parts, n), F.get(parts, n + 1))
+    inside = at - F.greatest(n - 1, F.lit(0)) * PIECE
+    begin = F.greatest(inside - radius, F.lit(0))
+    return F.substring(near, begin + 1, inside + radius - begin)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import WIDE, java
+from .regex import SUPPLEMENTARY, WIDE, java
 
 SPACE = rf"[\s{WIDE}]"
-SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
 ELLIPSIS = "…"
+FILL = "\ufdd0"  # a noncharacter
 
 # Names of invisible characters in snippets.
 CONTROL_NAMES = {
@@ -24,24 +24,48 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(SUPPLEMENTARY))
 
 
+def wide(text: Column) -> Column:
+    """The text with a filler behind each supplementary character: its characters are UTF-16 units."""
+    return F.when(text.rlike(SUPPLEMENTARY), F.regexp_replace(text, f"({SUPPLEMENTARY})", "$1" + FILL)).otherwise(text)
+
+
+def narrow(text: Column) -> Column:
+    """A piece of a :func:`wide` text without fillers.  A character cut in half stays whole at an end, and goes at a start."""
+    return F.when(text.contains(FILL), F.translate(text, FILL, "")).otherwise(text)
+
+
+def wide_at(text: Column, at: Column) -> Column:
+    """An offset in code points as one in UTF-16 units."""
+    return F.when(text.rlike(SUPPLEMENTARY), utf16_length(F.left(text, at))).otherwise(at).cast("int")
+
+
+def take(text: Column, limit: int) -> Column:
+    """The first ``limit`` UTF-16 units."""
+    return narrow(F.left(wide(text), F.lit(limit)))
+
+
 def line_of(text: Column, at: Column) -> Column:
     """1-based line of an offset; lines end at a newline."""
-    return F.regexp_count(F.substring(text, F.lit(1), at), F.lit("\n")) + 1
+    return F.regexp_count(F.left(text, at), F.lit("\n")) + 1
+
+
+def line_head(text: Column, at: Column) -> Column:
+    """The part of an offset's line before it."""
+    return F.substring_index(F.left(text, at), "\n", -1)
 
 
 def column_of(text: Column, at: Column) -> Column:
     """1-based column of an offset, in UTF-16 units."""
-    return utf16_length(F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)) + 1
+    return utf16_length(line_head(text, at)) + 1
 
 
-def line_window(text: Column, at: Column, radius: int) -> Column:
-    """Up to ``radius`` characters around an offset within its line, with an ellipsis where it is cut."""
-    head = F.substring_index(F.substring(text, F.lit(1), at), "\n", -1)
-    tail = F.substring_index(F.substring(text, at + 1, F.length(text)), "\n", 1)
-    left, right = F.right(head, F.lit(radius)), F.left(tail, F.lit(radius))
-    body = F.regexp_replace(F.concat(left, right), r"\r\z", "")
+def line_window(head: Column, tail: Column, radius: int) -> Column:
+    """Up to ``radius`` characters of a line on both sides, given its part before a place and (at least so much of) the text behind,
+    with an ellipsis where it is cut."""
+    rest = F.substring_index(F.left(tail, F.lit(radius + 2)), "\n", 1)
+    body = F.regexp_replace(F.concat(F.right(head, F.lit(radius)), F.left(rest, F.lit(radius))), r"\r\z", "")
     more = lambda full: F.when(F.length(full) > radius, ELLIPSIS).otherwise("")
-    return F.concat(more(head), body, more(tail))
+    return F.concat(more(head), body, more(rest))
 
 
 _SHOWN = {"\t": "\\t", "\n": "\\n", "\r": "\\r"} | {chr(c): f"<U+{c:04X}>" for c in [*range(9), 11, 12, *range(14, 32), 127]} | {chr(c): f"<{n}>" for c, n in CONTROL_NAMES.items()}
@@ -63,7 +87,7 @@ def visualize(text: Column) -> Column:
 
 
 def truncate(text: Column, limit: int) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit(ELLIPSIS))).otherwise(text)
+    return F.when(utf16_length(text) > limit, F.concat(take(text, limit - 1), F.lit(ELLIPSIS))).otherwise(text)
 
 
 def flatten(text: Column) -> Column:
@@ -73,7 +97,7 @@ def flatten(text: Column) -> Column:
 
 def preview(text: Column, limit: int) -> Column:
     flat = flatten(text)
-    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("..."))).otherwise(flat)
+    return F.when(utf16_length(flat) > limit, F.concat(take(flat, limit), F.lit("..."))).otherwise(flat)
 
 
 def fingerprint(rule: Column, path: Column, match: Column) -> Column:

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import narrow
+
 # Severities from least to most.
 SEVERITIES = ("info", "low", "medium", "high", "critical")
 INFO, LOW, MEDIUM, HIGH, CRITICAL = range(5)
@@ -17,9 +19,12 @@ RAW = "struct<idx: int, match: string, severity: int, message: string, detail: s
 RAWS = f"array<{RAW}>"
 
 
+NEAR = 300  # characters kept on either side of a match
+
+
 @dataclass(frozen=True)
 class Document:
-    """The columns of a prepared document that detectors read."""
+    """The columns of a prepared document that a rule's own scan reads."""
 
     path: Column
     text: Column  # comment continuation markers blanked, same length as the original
@@ -27,16 +32,43 @@ class Document:
     whole: Column  # the whole text is prose
     agent_file: Column
 
-    def in_prose(self, at: Column) -> Column:
-        return self.whole | F.exists(self.spans, lambda s: (at >= s["start"]) & (at < s["end"]))
+
+@dataclass(frozen=True)
+class Match:
+    """One match of a pattern: offset, text, its surroundings, and what its pattern carries along."""
+
+    at: Column
+    text: Column
+    near: Column  # up to NEAR characters on either side of the offset, in UTF-16 units; null unless the pattern looks at it
+    lead: Column  # how many of them stand before the offset
+    after: Column  # the same around the end of the match
+    lead_after: Column
+    prose: Column  # the offset is in prose
+    whole: Column
+    pattern: Column
+    label: Column
+
+    def around(self, radius: int) -> Column:
+        """Up to ``radius`` characters on either side of the offset."""
+        return _middle(self.near, self.lead, radius)
+
+    def around_end(self, radius: int) -> Column:
+        return _middle(self.after, self.lead_after, radius)
+
+
+def _middle(near: Column, lead: Column, radius: int) -> Column:
+    begin = F.greatest(lead - radius, F.lit(0))
+    return narrow(F.substring(near, begin + 1, lead + radius - begin))
 
 
 @dataclass(frozen=True)
 class Pattern:
     """One pattern of a rule (Java dialect).
 
-    ``gate`` is the search that decides whether a text is matched at all (default: the pattern).  ``confirm`` is a second-stage check
-    of a match; ``report`` turns a match into a raw finding or null (default: the match itself with ``severity``).
+    ``gate`` is the search that decides whether a text is matched at all (default: the pattern); before it come ``needles`` (see
+    :func:`..functions.regex.needles`) and, with ``foreign``, that the text has characters beyond ASCII.  ``confirm`` is a second-stage check
+    of a match, ``near`` tells that it looks around; ``report`` turns a match into a raw finding or null (default: the match itself with
+    ``severity``).  Patterns that share a function share its branch of the plan; ``label`` tells them apart.
     """
 
     java: str
@@ -44,14 +76,20 @@ class Pattern:
     anywhere: bool = True
     first_only: bool = False
     gate: str | None = None
-    confirm: Callable[[Document, Column, Column], Column] | None = None
-    report: Callable[[Document, Column, Column], Column] | None = None
+    needles: tuple[tuple[str, ...], ...] = ()
+    foreign: bool = False
+    confirm: Callable[[Match], Column] | None = None
+    report: Callable[[Match], Column] | None = None
+    near: bool = False
+    label: str | None = None
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A detector: patterns, or a function from a document's columns to an array of raw findings.  Users may add their own.
+    """A detector: patterns, a function from a document's columns to an array of raw findings, or a Python function.
 
+    ``scan`` must not raise: Spark cannot tell one expression's error from another's.  ``call`` takes (path, text) and yields
+    ``(offset, match, rank or None, message or None)``; where it raises, the file gets an error row and the other rules go on.
     ``dedupe``: of overlapping matches the first and longest counts.
     """
 
@@ -63,6 +101,7 @@ class Rule:
     patterns: tuple[Pattern, ...] = field(default=(), repr=False)
     scan: Callable[[Document], Column] | None = field(default=None, repr=False)
     dedupe: bool = False
+    call: Callable | None = field(default=None, repr=False)
 
 
 def raw(at: Column, match: Column, severity=None, message=None, **detail: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import GlobSet
 from ..functions.regex import java, matches
+from ..functions.shared import written
 from ..functions.text import column_of, fingerprint, line_of
 from ..operators import detectors as D
 from ..operators.model import SEVERITIES
@@ -19,7 +20,7 @@ from ..operators.prose import AGENT_FILES, AGENT_FOLDERS, BASENAMES, EXTENSIONS,
 from ..sources.files import DEFAULT_EXCLUDES
 from ..sources.tables import quoted, seeded, seeded_sql
 from .report import compact_lines, github_lines, severity_counts
-from .scan import enrich, raw_findings, scan
+from .scan import enrich, judge, raw_findings, scan
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,7 +138,7 @@ SELECT page_id, path, starts_with(path, 'fr/') AND length(path) > 3 OR (ends_wit
 
 @query
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(seeded(spark, sf_dir)).stats().select("files_scanned", F.col("bytes_scanned").cast("long").alias("bytes_scanned"))
+    return scan(seeded(spark, sf_dir), store=False).stats().select("files_scanned", F.col("bytes_scanned").cast("long").alias("bytes_scanned"))
 
 
 ORACLE_SQL["scan_stats"] = f"SELECT count(*) AS files_scanned, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes_scanned FROM ({seeded_sql()})"
@@ -180,8 +181,8 @@ def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a baseline of all critical ones does not hold."""
     files = seeded(spark, sf_dir)
-    rows = enrich(raw_findings(files))
-    return scan(files, baseline=rows.where("severity = 'critical'").select("fingerprint")).findings.drop("rank", "rule_ord", "match_ord")
+    rows = written(enrich(raw_findings(files)))
+    return judge(rows, files, baseline=rows.where("severity = 'critical'").select("fingerprint")).findings.drop("rank", "rule_ord", "match_ord")
 
 
 @query

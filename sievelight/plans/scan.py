@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.regex import WIDE, matches
-from ..functions.text import column_of, fingerprint, line_of, line_window, truncate, visualize
-from ..operators.detectors import RULES
-from ..operators.model import RAWS, Document, Rule, bump, raw, severity_name, severity_rank
+from ..functions.regex import WIDE, around, holds, literal, matches, pieces
+from ..functions.shared import written
+from ..functions.text import fingerprint, line_window, narrow, take, truncate, utf16_length, visualize, wide, wide_at
+from ..operators.detectors import RULES, agent_file
+from ..operators.model import NEAR, RAWS, Document, Match, Pattern, Rule, bump, raw, severity_name, severity_rank
 from ..operators.prose import prepare
 
 # Limits of the report and of correlation.
@@ -24,11 +26,14 @@ MOST_PER_RULE = 50
 MARKER = "scan-ignore"
 FINDING = ("rule_id", "rule_title", "family", "severity", "base_severity", "file", "line", "column", "snippet", "context", "message", "fingerprint", "boosted_by", "detail")
 ORDER = ("rule_ord", "match_ord")
+TAGGED = "array<struct<rule_ord: int, idx: int, match: string, severity: int, message: string, detail: string>>"
+KEPT = TAGGED[:-2] + ", match_ord: int>>"
+OVER = "array<struct<rule_ord: int, n: int>>"
 
 
 @dataclass
 class Scan:
-    """Lazy results of a scan: findings at or above the threshold, suppressed ones, errors, and files scanned."""
+    """Results of a scan: findings at or above the threshold, suppressed ones, errors, and files scanned."""
 
     findings: DataFrame
     suppressed: DataFrame
@@ -39,75 +44,142 @@ class Scan:
         return self.files.agg(F.count("*").alias("files_scanned"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes_scanned"))
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that later filters and projections read but never repeat: a generator ends the optimiser's inlining."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def _of(values: list, k: Column) -> Column:
+    """The k-th of some constants; they go to Spark as one literal each, not element by element."""
+    if any(isinstance(v, str) for v in values):
+        return F.get(F.split(F.lit("\x01".join(v or "" for v in values)), "\x01"), k)
+    return F.get(F.expr(f"array({', '.join('null' if v is None else str(v) for v in values)})"), k)
+
+
+def _by_function(listed: list[Pattern], attribute: str, k: Column, m: Match, otherwise: Column) -> Column:
+    """One branch for each distinct function among the patterns."""
+    users: dict = {}
+    for n, p in enumerate(listed):
+        if getattr(p, attribute):
+            users.setdefault(getattr(p, attribute), []).append(n)
+    out = None
+    for f, numbers in users.items():
+        mine = k.isin(numbers) if len(numbers) > 1 else k == numbers[0]
+        out = F.when(mine, f(m)) if out is None else out.when(mine, f(m))
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
+def _called(rules: list[Rule]):
+    """Runs the Python rules on each text; what a rule raises becomes an error of that file."""
+    mine = [(i, r) for i, r in enumerate(rules) if r.call]
+
+    def run(path: pd.Series, text: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, t in zip(path, text, strict=True):
+            found, failed = [], []
+            for i, r in mine:
+                try:
+                    found += [(i, *x) for x in r.call(p, t)]
+                except Exception as e:  # a rule that fails must not silence the others, nor itself
+                    failed.append(f"rule {r.id} failed on this file, which it did not check: {e}")
+            out.append(([list(x) for x in zip(*found, strict=True)] or [[]] * 5, failed))
+        return pd.DataFrame([(*columns, failed) for columns, failed in out], columns=["rule_ord", "idx", "match", "severity", "message", "failed"])
+
+    return F.pandas_udf(run, "rule_ord array<int>, idx array<int>, match array<string>, severity array<int>, message array<string>, failed array<string>")
+
+
 def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """One row per document with a finding: ``path, text, agent_file, raw`` (each rule's first 50, in order) and ``over``.
+    """One row per document with a finding or an error: ``path, text, agent_file, raw`` (each rule's first 50, in order),
+    ``over`` (rules with more, and how many) and ``failed`` (messages).
 
-    Every pattern is first a plain search; the patterns that hit go through one match expression, one report and one sweep, so
-    the plan stays small and a clean text costs its searches only.
+    Every pattern is first a plain search; only texts that some pattern hits go on.  Their hits go through one match expression, one
+    confirmation, one report for each kind of pattern, and one sweep, so the plan grows with the kinds, not with the patterns.
     """
     rules = RULES if rules is None else rules
     doc = Document(F.col("path"), F.col("rule_text"), F.col("spans"), F.col("whole"), F.col("agent_file"))
     listed = [(i, p) for i, r in enumerate(rules) for p in r.patterns]
-    docs = prepare(files.where("text is not null and path is not null"))
-    found = F.filter(F.array(*[F.when(doc.text.rlike(p.gate or p.java), F.lit(k)) for k, (_, p) in enumerate(listed)]), lambda k: k.isNotNull()) if listed else F.array().cast("array<int>")
-    docs = docs.select("path", "text", "rule_text", "spans", "whole", "agent_file", found.alias("hit"))
-
-    def of(values: list, k: Column) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values] or [F.lit(None)]), k)
+    patterns = [p for _, p in listed]
+    docs = _once(prepare(files.where("text is not null and path is not null")), "lower", F.lower("rule_text"))
+    docs = docs.withColumn("foreign", F.octet_length("lower") > F.length("lower"))
+
+    # as SQL text, since a plan of so many small expressions takes long to build one by one
+    searched = lambda p: f"{'foreign and ' * p.foreign}{holds('lower', p.needles)} and rlike(rule_text, {literal(p.gate or p.java)})"
+    found = F.expr(f"filter(array({', '.join(f'case when {searched(p)} then {k} end' for k, p in enumerate(patterns))}), k -> k is not null)") if listed else F.array().cast("array<int>")
+    docs = _once(docs, "hit", found).select("path", "text", "rule_text", "spans", "whole", "agent_file", "hit")
+    own = [(i, r) for i, r in enumerate(rules) if r.scan]
+    if any(r.call for r in rules):
+        docs = docs.withColumn("called", _called(rules)(doc.path, doc.text))
+    elif not own:
+        docs = docs.where(F.size("hit") > 0)
+    elif all(r.scan is agent_file for _, r in own):
+        docs = docs.where((F.size("hit") > 0) | doc.agent_file)
 
     def all_of(k):
-        hits = matches(doc.text, of([p.java for _, p in listed], k))
-        hits = F.when(of([p.first_only for _, p in listed], k), F.slice(hits, 1, 1)).otherwise(hits)
-        return F.transform(hits, lambda m: F.struct(k.alias("k"), m["idx"].alias("idx"), m["match"].alias("match")))
-
-    none = F.array().cast("array<struct<k: int, idx: int, match: string>>")
-    docs = docs.withColumn("hits", F.when(F.size("hit") > 0, F.flatten(F.transform("hit", all_of))).otherwise(none) if listed else none)
-    rule_of = [i for i, _ in listed]
-
-    def tagged(rule: Column, x: Column) -> Column:
-        return F.struct(rule.cast("int").alias("rule_ord"), x["idx"].alias("idx"), x["match"].alias("match"), x["severity"].alias("severity"), x["message"].alias("message"), x["detail"].alias("detail"))
-
-    def reported(h):
-        k, at, match = h["k"], h["idx"], h["match"]
-        plain = raw(at, match, of([p.severity for _, p in listed], k).cast("int"))
-        fine = F.lit(True)
-        for n, (_, p) in enumerate(listed):
-            if p.confirm:
-                fine = F.when(k == n, p.confirm(doc, at, match)).otherwise(fine)
-        out = F.when((of([p.anywhere for _, p in listed], k) | doc.in_prose(at)) & fine, plain)
-        for n, (_, p) in enumerate(listed):
-            if p.report:
-                out = F.when(k == n, p.report(doc, at, match)).otherwise(out)
-        return F.struct(of(rule_of, k).alias("rule"), out.alias("x"))
-
-    pieces = [F.transform(F.filter(F.transform("hits", reported), lambda r: r["x"].isNotNull()), lambda r: tagged(r["rule"], r["x"]))] if listed else []
-    for i, r in enumerate(rules):
-        if r.scan:
-            pieces.append(_own(r, i, doc, tagged))
-    docs = docs.select("path", "text", "agent_file", F.concat(*pieces).alias("found")).where(F.size("found") > 0)
+        hits = matches(doc.text, _of([p.java for p in patterns], k))
+        hits = F.when(_of([p.first_only for p in patterns], k), F.slice(hits, 1, 1)).otherwise(hits)
+        return F.transform(hits, lambda m: F.struct(k.alias("k"), m["idx"].alias("idx"), m["units"].alias("units"), m["match"].alias("match")))
+
+    sources = []
+    if listed:
+        looking = [k for k, p in enumerate(patterns) if p.near]
+        hits = F.when(F.size("hit") > 0, F.flatten(F.transform("hit", all_of))).otherwise(F.array().cast("array<struct<k: int, idx: int, units: int, match: string>>"))
+        parts = F.when(F.arrays_overlap("hit", F.array(*[F.lit(k) for k in looking])), pieces(wide(doc.text))) if looking else F.lit(None).cast("array<string>")
+        docs = _once(_once(docs, "hits", hits), "parts", parts)
+        in_prose = lambda at: doc.whole | F.exists(doc.spans, lambda s: (at >= s["start"]) & (at < s["end"]))
+
+        def placed(h):
+            at = h["idx"]
+            looks = h["k"].isin(looking) if looking else F.lit(False)
+            ends = F.transform(F.array(h["units"], h["units"] + utf16_length(h["match"])), lambda x: F.when(looks, x))
+            return F.struct(h["k"].alias("k"), at.alias("idx"), h["match"].alias("match"), in_prose(at).alias("prose"), F.transform(ends, lambda x: F.struct(F.least(x, F.lit(NEAR)).alias("lead"), around(F.col("parts"), x, NEAR).alias("text"))).alias("near"))
+
+        def as_match(h):
+            k, near, after = h["k"], h["near"][0], h["near"][1]
+            return Match(h["idx"], h["match"], near["text"], near["lead"], after["text"], after["lead"], h["prose"], doc.whole, _of([p.java for p in patterns], k), _of([p.label for p in patterns], k))
+
+        def confirmed(h):
+            return (_of([p.anywhere for p in patterns], h["k"]) | h["prose"]) & _by_function(patterns, "confirm", h["k"], as_match(h), F.lit(True))
+
+        def reported(h):
+            plain = raw(h["idx"], h["match"], _of([p.severity for p in patterns], h["k"]).cast("int"))
+            return F.struct(_of([i for i, _ in listed], h["k"]).alias("rule"), _by_function(patterns, "report", h["k"], as_match(h), plain).alias("x"))
+
+        docs = _once(docs, "fine", F.filter(F.transform("hits", placed), confirmed))
+        sources.append(F.transform(F.filter(F.transform("fine", reported), lambda r: r["x"].isNotNull()), lambda r: _tagged(r["rule"], r["x"])))
+    for i, r in own:
+        sources.append(_numbered(i, r.scan(doc)))
+    none = F.array().cast("array<string>")
+    if any(r.call for r in rules):
+        c = F.col("called")
+        rows = F.sequence(F.lit(1), F.size(c["idx"]))
+        at = lambda name, j: F.element_at(c[name], j)
+        made = F.transform(rows, lambda j: _tagged(at("rule_ord", j), raw(at("idx", j), at("match", j), at("severity", j), at("message", j))))
+        sources.append(F.when(F.size(c["idx"]) > 0, made).otherwise(F.array().cast(TAGGED)))
+        none = c["failed"]
+    docs = _once(docs.withColumn("failed", none), "found", F.concat(*sources) if sources else F.array().cast(TAGGED))
     # rules in order; within a deduplicated rule by offset and length, else as produced
     swept = [r.dedupe for r in rules]
-    key = lambda x, j: F.struct(x["rule_ord"].alias("rule"), F.when(of(swept, x["rule_ord"]), x["idx"]).otherwise(0).alias("a"), F.when(of(swept, x["rule_ord"]), -F.length(x["match"])).otherwise(0).alias("b"), j.alias("j"), x.alias("x"))
-    docs = docs.withColumn("keyed", F.array_sort(F.transform("found", key)))
-    kept = "array<struct<rule_ord: int, idx: int, match: string, severity: int, message: string, detail: string, match_ord: int>>"
-    start = F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("to"), F.lit(0).alias("n"), F.array().cast(kept).alias("out"))
+    key = lambda x, j: F.struct(x["rule_ord"].alias("rule"), F.when(_of(swept, x["rule_ord"]), x["idx"]).otherwise(0).alias("a"), F.when(_of(swept, x["rule_ord"]), -F.length(x["match"])).otherwise(0).alias("b"), j.alias("j"), x.alias("x"))
+    start = F.struct(F.lit(-1).alias("rule"), F.lit(0).alias("to"), F.lit(0).alias("n"), F.array().cast(KEPT).alias("out"), F.array().cast(OVER).alias("over"))
+    more = lambda acc: F.when(acc["n"] > MOST_PER_RULE, F.concat(acc["over"], F.array(F.struct(acc["rule"].alias("rule_ord"), acc["n"].alias("n"))))).otherwise(acc["over"])
 
     def sweep(acc, e):
-        x = e["x"]
-        same = acc["rule"] == e["rule"]
+        x, same = e["x"], acc["rule"] == e["rule"]
         n = F.when(same, acc["n"]).otherwise(0)
-        fits = ~(same & of(swept, e["rule"]) & (e["a"] < acc["to"]))
-        one = F.array(F.struct(x["rule_ord"].alias("rule_ord"), x["idx"].alias("idx"), x["match"].alias("match"), x["severity"].alias("severity"), x["message"].alias("message"), x["detail"].alias("detail"), n.alias("match_ord")))
-        return F.struct(e["rule"].alias("rule"), F.when(fits, e["a"] - e["b"]).otherwise(acc["to"]).alias("to"), F.when(fits, n + 1).otherwise(n).alias("n"), F.when(fits, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        fits = ~(same & _of(swept, e["rule"]) & (e["a"] < acc["to"]))
+        one = F.array(F.struct(*[x[c].alias(c) for c in ("rule_ord", "idx", "match", "severity", "message", "detail")], n.alias("match_ord")))
+        return F.struct(e["rule"].alias("rule"), F.when(fits, e["a"] - e["b"]).otherwise(acc["to"]).alias("to"), F.when(fits, n + 1).otherwise(n).alias("n"), F.when(fits & (n < MOST_PER_RULE), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"), F.when(same, acc["over"]).otherwise(more(acc)).alias("over"))
 
-    docs = docs.withColumn("swept", F.aggregate("keyed", start, sweep, lambda acc: acc["out"]))
-    ids = [r.id for r in rules]
-    over = F.transform(F.filter("swept", lambda x: x["match_ord"] == MOST_PER_RULE), lambda x: F.struct(of(ids, x["rule_ord"]).alias("rule_id"), F.size(F.filter("swept", lambda y: y["rule_ord"] == x["rule_ord"])).alias("n")))
-    return docs.select("path", "text", "agent_file", F.filter("swept", lambda x: x["match_ord"] < MOST_PER_RULE).alias("raw"), over.alias("over"))
+    done = F.aggregate(F.array_sort(F.transform("found", key)), start, sweep, lambda acc: F.struct(acc["out"].alias("raw"), more(acc).alias("over")))
+    return _once(docs, "swept", done).select("path", "text", "agent_file", "swept.raw", "swept.over", "failed")
 
 
-def _own(rule: Rule, i: int, doc: Document, tagged) -> Column:
-    return F.transform(rule.scan(doc).cast(RAWS), lambda x: tagged(F.lit(i), x))
+def _numbered(i: int, found: Column) -> Column:
+    return F.transform(found.cast(RAWS), lambda x: _tagged(F.lit(i), x))
+
+
+def _tagged(rule: Column, x: Column) -> Column:
+    return F.struct(rule.cast("int").alias("rule_ord"), *[x[c].alias(c) for c in ("idx", "match", "severity", "message", "detail")])
 
 
 def ignored_inline(lines: Column, line: Column, rule_id: Column, marker: str = MARKER) -> Column:
@@ -128,29 +200,37 @@ def ignored_inline(lines: Column, line: Column, rule_id: Column, marker: str = M
 
 
 def enrich(found: DataFrame, rules: list[Rule] | None = None, boost: bool = True, marker: str = MARKER) -> DataFrame:
-    """Findings with all their columns, ``rank`` and ``ignored``."""
+    """Findings with all their columns, ``rank`` and ``ignored``; and rows that have only ``file`` and ``error``."""
     rules = RULES if rules is None else rules
-    of = lambda attribute: F.element_at(F.array(*[F.lit(getattr(r, attribute)) for r in rules]), F.col("f.rule_ord") + 1)
-    families = F.array(*[F.lit(r.family) for r in rules])
-    kinds = F.size(F.array_distinct(F.transform("raw", lambda x: F.element_at(families, x["rule_ord"] + 1))))
+    of = lambda attribute, k: _of([getattr(r, attribute) for r in rules], k)
+    kinds = F.size(F.array_distinct(F.transform("raw", lambda x: of("family", x["rule_ord"]))))
     lines = F.when(F.col("text").contains(marker), F.split("text", "\n", -1))
-    rows = found.select("path", "text", "agent_file", kinds.alias("kinds"), lines.alias("lines"), F.explode("raw").alias("f"))
-    at = F.col("f.idx")
+    over = F.transform("over", lambda o: F.concat(F.lit("rule "), of("id", o["rule_ord"]), F.lit(" matched "), o["n"].cast("string"), F.lit(f" times; only the first {MOST_PER_RULE} are reported")))
+    one = F.transform("raw", lambda x: F.struct(x.alias("f"), F.lit(None).cast("string").alias("error")))
+    bad = F.transform(F.concat(over, "failed"), lambda e: F.struct(F.lit(None).cast(KEPT[6:-1]).alias("f"), e.alias("error")))
+    rows = found.select("path", "text", "agent_file", kinds.alias("kinds"), lines.alias("lines"), F.explode_outer(F.concat(one, bad)).alias("e")).where("e is not null")
+    rows = rows.select("path", "agent_file", "kinds", "lines", "text", "e.f", "e.error")
+    at, rule = F.col("f.idx"), F.col("f.rule_ord")
+    head = F.left(wide(F.col("text")), wide_at(F.col("text"), at))
+    behind = F.substring(F.col("text"), at + 1, F.lit(CONTEXT + 2))
+    rows = rows.select("path", "agent_file", "kinds", "lines", "f", "error", head.alias("head"), wide(behind).alias("behind"))
+    rows = rows.select("*", F.substring_index("head", "\n", -1).alias("left"))
     rows = rows.select(
-        "path", "agent_file", "kinds", "lines", of("id").alias("rule_id"), of("title").alias("rule_title"), of("family").alias("family"), F.coalesce("f.severity", of("severity")).alias("base"),
-        line_of(F.col("text"), at).alias("line"), column_of(F.col("text"), at).alias("column"), F.left("f.match", F.lit(SNIPPET)).alias("shown"), line_window(F.col("text"), at, CONTEXT).alias("window"),
-        F.coalesce("f.message", of("message")).alias("message"), "f.detail", "f.rule_ord", "f.match_ord", fingerprint(of("id"), F.col("path"), F.col("f.match")).alias("fingerprint"),
+        F.col("path").alias("file"), "agent_file", "kinds", "lines", "error", of("id", rule).alias("rule_id"), of("title", rule).alias("rule_title"), of("family", rule).alias("family"),
+        F.coalesce("f.severity", of("severity", rule)).alias("base"), (F.regexp_count("head", F.lit("\n")) + 1).alias("line"), (F.length("left") + 1).alias("column"),
+        visualize(take(F.col("f.match"), SNIPPET)).alias("shown"), narrow(line_window(F.col("left"), F.col("behind"), CONTEXT)).alias("window"), F.coalesce("f.message", of("message", rule)).alias("message"),
+        "f.detail", "f.rule_ord", "f.match_ord", fingerprint(of("id", rule), F.col("path"), F.col("f.match")).alias("fingerprint"),
     )
     raises = (F.col("family") != "agent-config") if boost else F.lit(False)
     many, auto = raises & (F.col("kinds") >= FAMILIES_TO_BOOST), raises & F.col("agent_file")
     rank = bump(F.col("base"), many.cast("int") + auto.cast("int"))
     why = F.concat_ws("; ", F.when(many, F.concat(F.col("kinds").cast("string"), F.lit(" distinct techniques in this file"))), F.when(auto, "agents load this file by themselves"))
     # each step is a projection of its own, so that no long expression is repeated inside another
-    rows = rows.withColumns({"shown": visualize(F.col("shown")), "window": visualize(F.regexp_replace("window", rf"^[\s{WIDE}]+|[\s{WIDE}]+\z", "")), "rank": rank, "why": why})
+    rows = rows.withColumns({"window": visualize(F.regexp_replace("window", rf"^[\s{WIDE}]+|[\s{WIDE}]+\z", "")), "rank": rank, "why": why})
     return rows.select(
-        "rule_id", "rule_title", "family", severity_name(F.col("rank")).alias("severity"), severity_name(F.col("base")).alias("base_severity"), F.col("path").alias("file"), "line", "column",
+        "rule_id", "rule_title", "family", severity_name(F.col("rank")).alias("severity"), severity_name(F.col("base")).alias("base_severity"), "file", "line", "column",
         truncate(F.col("shown"), SNIPPET).alias("snippet"), truncate(F.col("window"), CONTEXT).alias("context"), "message", "fingerprint", F.nullif("why", F.lit("")).alias("boosted_by"), "detail", *ORDER,
-        "rank", F.when(F.col("lines").isNotNull(), ignored_inline(F.col("lines"), F.col("line"), F.col("rule_id"), marker)).otherwise(F.lit(False)).alias("ignored"),
+        "rank", F.when(F.col("lines").isNotNull() & F.col("error").isNull(), ignored_inline(F.col("lines"), F.col("line"), F.col("rule_id"), marker)).otherwise(F.lit(False)).alias("ignored"), "error",
     )
 
 
@@ -163,15 +243,18 @@ def allowed(patterns: list[str]) -> Column:
 
 
 def in_order(findings: DataFrame, limit: int = 0) -> DataFrame:
-    """Most severe first, then by file (in collation order), line, column, rule and match; at most ``limit`` if given."""
+    """Most severe first, then by file (in collation order), line, column, rule and match; at most ``limit`` if given.
+
+    A global sort reads its input twice: give it stored rows.
+    """
     out = findings.orderBy(F.col("rank").desc(), F.collate("file", "UNICODE"), "file", "line", "column", *ORDER)
     return out.limit(limit) if limit else out
 
 
-def scan(files: DataFrame, rules: list[Rule] | None = None, baseline: DataFrame | None = None, allow: list[str] | None = None, min_severity: str = "info", boost: bool = True, max_findings: int = 0, marker: str = MARKER) -> Scan:
-    """Scans ``files(path, text)``.  ``baseline(fingerprint)`` holds accepted findings."""
-    found = raw_findings(files, rules)
-    rows = enrich(found, rules, boost, marker)
+def judge(rows: DataFrame, files: DataFrame, baseline: DataFrame | None = None, allow: list[str] | None = None, min_severity: str = "info", max_findings: int = 0) -> Scan:
+    """Splits the rows of :func:`enrich` into findings at or above the threshold, suppressed ones, and errors."""
+    errors = rows.where("error is not null").select("file", F.col("error").alias("message"))
+    rows = rows.where("error is null")
     hidden = F.col("ignored") | allowed(allow or [])
     if baseline is not None:
         known = baseline.select(F.col("fingerprint").alias("_known")).dropDuplicates()
@@ -179,6 +262,19 @@ def scan(files: DataFrame, rules: list[Rule] | None = None, baseline: DataFrame
         hidden = hidden | F.col("_known").isNotNull()
     rows = rows.withColumn("hidden", hidden)
     columns = [*FINDING, *ORDER, "rank"]
-    errors = found.select(F.col("path").alias("file"), F.explode("over").alias("o")).select("file", F.concat(F.lit("rule "), F.col("o.rule_id"), F.lit(" matched "), F.col("o.n").cast("string"), F.lit(f" times; only the first {MOST_PER_RULE} are reported")).alias("message"))
     kept = rows.where(~F.col("hidden") & (F.col("rank") >= severity_rank(min_severity))).select(*columns)
     return Scan(in_order(kept, max_findings), in_order(rows.where("hidden").select(*columns)), errors, files)
+
+
+def scan(files: DataFrame, rules: list[Rule] | None = None, baseline: DataFrame | None = None, allow: list[str] | None = None, min_severity: str = "info", boost: bool = True, max_findings: int = 0, marker: str = MARKER, store: bool = True) -> Scan:
+    """Scans ``files(path, text)``.  ``baseline(fingerprint)`` holds accepted findings.
+
+    With ``store`` the scan runs here, once, and its rows go to the shared folder; all results derive from that table.
+    """
+    rows = enrich(raw_findings(files, rules), rules, boost, marker)
+    return judge(written(rows) if store else rows, files, baseline, allow, min_severity, max_findings)
+
+
+def scan_text(spark: SparkSession, text: str, path: str, **options) -> Scan:
+    """Scans one text, as :func:`scan` does a table of them."""
+    return scan(spark.createDataFrame([(path, text)], "path string, text string"), **options)
