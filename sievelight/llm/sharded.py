@@ -32,6 +32,29 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
     return (K.mix64(key) % np.uint64(shards)).astype(np.int32)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Numbers as bytes, compressed place by place."""
+    x = np.ascontiguousarray(x)
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
+
+
+def expand(blob: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], n, codec="zstd", asbytes=True) if n else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def squeeze_sorted(keys: np.ndarray) -> bytes:
+    """Rising 64-bit keys by their steps."""
+    keys = keys.view(np.uint64)
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
+def expand_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(expand(blob, np.uint64), dtype=np.uint64)
+
+
 def pack(key: np.ndarray, doc: np.ndarray, shards: int) -> list[pa.Array]:
     """One row for each shard met: shard, its distinct keys, documents per key, documents, and times each.
 
@@ -48,17 +71,16 @@ def pack(key: np.ndarray, doc: np.ndarray, shards: int) -> list[pa.Array]:
     size = np.diff(np.append(lead, len(key))).astype(np.uint32)
     ends = np.searchsorted(shard, np.arange(shards + 1))
     leads = np.searchsorted(lead, ends)
-    full = np.flatnonzero(np.diff(ends))
-    cut, cut_lead = np.append(ends[full], ends[full[-1] + 1]), np.append(leads[full], leads[full[-1] + 1])
-    column = lambda x, at: K.binary_column(np.ascontiguousarray(x).view(np.uint8), at * x.itemsize)
-    return [pa.array(full.astype(np.int32)), column(key[lead], cut_lead), column(size, cut_lead), column(doc.astype(np.uint32), cut), column(times, cut)]
+    full = np.flatnonzero(np.diff(ends)).tolist()
+    column = lambda f, x, at: pa.array([f(x[at[i] : at[i + 1]]) for i in full], pa.binary())
+    return [pa.array(full, pa.int32()), column(squeeze_sorted, key[lead], leads), column(squeeze, size, leads), column(squeeze, doc.astype(np.uint32), ends), column(squeeze, times, ends)]
 
 
 def unpack(requests: pa.Table):
     """``(uid, keys, documents per key, documents, times)`` of each request row."""
     rows = zip(*(requests.column(c).to_pylist() for c in ("uid", "keys", "size", "docs", "times")), strict=True)
     for uid, keys, size, docs, times in rows:
-        yield uid, np.frombuffer(keys, np.uint64), np.frombuffer(size, np.uint32), np.frombuffer(docs, np.uint32), np.frombuffer(times, np.uint32)
+        yield uid, expand_sorted(keys), expand(size, np.uint32), expand(docs, np.uint32), expand(times, np.uint32)
 
 
 def salts_for(requests: DataFrame, shards: int, group_bytes: int) -> int:
