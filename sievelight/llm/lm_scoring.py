@@ -10,7 +10,8 @@ shares of words outside it.
 *   Network: embedding, one gated recurrent layer, and a class-factored softmax: P(class) times P(token | class), classes
     being runs of the vocabulary by frequency.  Output biases start at the token frequencies.
 *   Training: truncated backpropagation over windows of ``window`` tokens on parallel lanes; a lane carries its state from
-    window to window until its document ends.  In each of ``rounds`` rounds every partition trains from the
+    window to window until its document ends (a longer document is dealt to lanes in stretches of ``stretch`` tokens, so that no
+    lane runs on alone).  In each of ``rounds`` rounds every partition trains from the
     common weights on its own documents of that round (one in ``every`` by a hash: whole texts, in
     proportion to the input), and the results are averaged, weighted by tokens, in a tree of groups of 16.
 *   Scoring: all whole texts, lanes as in training, state carried across windows, reset at each document's start.
@@ -68,19 +69,32 @@ class Network:
     def run(self, h, prev, reset, keep: bool):
         """States after each of the (steps, lanes) inputs; with ``keep``, also what backpropagation needs."""
         p, n = self.p, self.hidden
-        states = np.empty((*prev.shape, n), F32)
-        cache = []
-        for t in range(len(prev)):
-            x = self.table[prev[t]] if not keep else p["emb"][prev[t]]
-            gx = x if not keep else x @ p["wx"] + p["b"]
-            h = h * (1 - reset[t])[:, None]
+        steps, lanes, kind = *prev.shape, p["wh"].dtype
+        states = np.empty((steps, lanes, n), kind)
+        cache = {}
+        if keep:
+            x = p["emb"][prev.ravel()]
+            gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * n)
+            cache = {"x": x, "h": np.empty((steps, lanes, n), kind), "zr": np.empty((steps, lanes, 2 * n), kind), "c": np.empty((steps, lanes, n), kind), "gc": np.empty((steps, lanes, n), kind)}
+        half, one = F32(0.5), F32(1)
+        for t in range(steps):
+            gx = gates[t] if keep else self.table[prev[t]]
+            if reset[t].any():
+                h = h * (one - reset[t])[:, None]
             gh = h @ p["wh"]
-            zr = np.tanh((gx[:, : 2 * n] + gh[:, : 2 * n]) * F32(0.5)) * F32(0.5) + F32(0.5)
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gx[:, 2 * n :] + r * gh[:, 2 * n :])
+            zr = gx[:, : 2 * n] + gh[:, : 2 * n]
+            zr *= half
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            c = zr[:, n:] * gh[:, 2 * n :]
+            c += gx[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep:
-                cache.append((x, h, z, r, c, gh[:, 2 * n :]))
-            h = c + z * (h - c)
+                cache["h"][t], cache["zr"][t], cache["c"][t], cache["gc"][t] = h, zr, c, gh[:, 2 * n :]
+            h = h - c
+            h *= zr[:, :n]
+            h += c
             states[t] = h
         return h, states, cache
 
@@ -92,17 +106,23 @@ class Network:
         """Natural log probabilities of tokens after states, both flat."""
         p, w = self.p, self.width
         group, inner = tokens // w, tokens % w
-        logits = states @ p["wc"] + p["bc"]
-        top = logits.max(axis=1)
-        out = logits[np.arange(len(tokens)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
         order = np.argsort(group.astype(np.int16), kind="stable")
         cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            logits = states[at] @ p["ww"][k] + p["bw"][k]
-            top = logits.max(axis=1)
-            out[at] += logits[np.arange(len(at)), inner[at]] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-        return out
+        states, inner, out = states[order], inner[order], np.empty(len(tokens), states.dtype)
+
+        def log_of(logits, pick):
+            logits -= logits.max(axis=1, keepdims=True)
+            mine = logits[np.arange(len(pick)), pick]
+            np.exp(logits, out=logits)
+            return mine - np.log(logits.sum(axis=1))
+
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[k], cuts[k + 1]
+            out[a:b] = log_of(states[a:b] @ p["ww"][k] + p["bw"][k], inner[a:b])
+        out += log_of(states @ p["wc"] + p["bc"], group[order])
+        back = np.empty_like(out)
+        back[order] = out
+        return back
 
     def step(self, h, prev, reset, tokens, mask, rate, squares):
         """One window of truncated backpropagation with Adagrad; returns the state and the loss."""
@@ -111,63 +131,77 @@ class Network:
         rows = np.flatnonzero(mask.ravel())
         if not len(rows):
             return last, 0.0
-        flat, tok = states.reshape(-1, n)[rows], tokens.ravel()[rows]
-        group, inner, scale = tok // w, tok % w, F32(1 / len(rows))
+        tok = tokens.ravel()[rows].astype(np.int64)
+        group = tok // w
+        order = np.argsort(group.astype(np.int16), kind="stable")
+        rows, group, inner, scale = rows[order], group[order], (tok % w)[order], F32(1 / len(rows))
+        cuts = np.searchsorted(group, np.arange(self.classes + 1))
+        flat = states.reshape(-1, n)[rows]
         grads = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        logits = flat @ p["wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        e /= e.sum(axis=1, keepdims=True)
-        loss = -np.log(e[np.arange(len(tok)), group] + 1e-30).sum()
-        e[np.arange(len(tok)), group] -= 1
-        e *= scale
+        picked = np.empty(len(rows), flat.dtype)
+
+        def error(logits, pick, into):
+            """Scaled softmax less the one that came, in place; its probability goes ``into``."""
+            logits -= logits.max(axis=1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= (scale / logits.sum(axis=1))[:, None]
+            at = np.arange(len(pick))
+            into[:] = logits[at, pick]
+            logits[at, pick] -= scale
+            return logits
+
+        e = error(flat @ p["wc"] + p["bc"], group, picked)
+        loss = -np.log(picked / scale + F32(1e-30)).sum()
         grads["wc"], grads["bc"] = flat.T @ e, e.sum(axis=0)
         back = e @ p["wc"].T
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[k] : cuts[k + 1]]
-            logits = flat[at] @ p["ww"][k] + p["bw"][k]
-            logits -= logits.max(axis=1, keepdims=True)
-            e = np.exp(logits)
-            e /= e.sum(axis=1, keepdims=True)
-            loss -= np.log(e[np.arange(len(at)), inner[at]] + 1e-30).sum()
-            e[np.arange(len(at)), inner[at]] -= 1
-            e *= scale
-            grads["ww"][k], grads["bw"][k] = flat[at].T @ e, e.sum(axis=0)
-            back[at] += e @ p["ww"][k].T
-        d_states = np.zeros((mask.size, n), F32)
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[k], cuts[k + 1]
+            e = error(flat[a:b] @ p["ww"][k] + p["bw"][k], inner[a:b], picked[a:b])
+            grads["ww"][k], grads["bw"][k] = flat[a:b].T @ e, e.sum(axis=0)
+            back[a:b] += e @ p["ww"][k].T
+        loss -= np.log(picked / scale + F32(1e-30)).sum()
+        d_states = np.zeros((mask.size, n), flat.dtype)
         d_states[rows] = back
         d_states = d_states.reshape(states.shape)
         dh = np.zeros_like(h)
-        grads["wx"], grads["wh"], grads["b"] = np.zeros_like(p["wx"]), np.zeros_like(p["wh"]), np.zeros_like(p["b"])
-        d_emb = np.empty((*prev.shape, n), F32)
+        wht = np.ascontiguousarray(p["wh"].T)
+        dgx, dgh = np.empty((2, *prev.shape, 3 * n), flat.dtype)
+        z, r, c, gc = cache["zr"][:, :, :n], cache["zr"][:, :, n:], cache["c"], cache["gc"]
+        # what does not depend on later steps, for the whole window at once
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (cache["h"] - c) * z * (1 - z), gc * r * (1 - r)
         for t in range(len(prev) - 1, -1, -1):
-            x, h_in, z, r, c, ghn = cache[t]
-            dh = dh + d_states[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h_in - c) * z * (1 - z)
-            dr = dc * ghn * r * (1 - r)
-            dgx = np.concatenate([dz, dr, dc], axis=1)
-            dgh = np.concatenate([dz, dr, dc * r], axis=1)
-            grads["wx"] += x.T @ dgx
-            grads["b"] += dgx.sum(axis=0)
-            grads["wh"] += h_in.T @ dgh
-            d_emb[t] = dgx @ p["wx"].T
-            dh = (dh * z + dgh @ p["wh"].T) * (1 - reset[t])[:, None]
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            dh += d_states[t]
+            dc = dh * to_c[t]
+            g = dgh[t]
+            np.multiply(dh, to_z[t], out=g[:, :n])
+            np.multiply(dc, to_r[t], out=g[:, n : 2 * n])
+            np.multiply(dc, r[t], out=g[:, 2 * n :])
+            dgx[t, :, 2 * n :] = dc
+            dh = dh * z[t]
+            dh += g @ wht
+            if reset[t].any():
+                dh *= (1 - reset[t])[:, None]
+        dgx[:, :, : 2 * n] = dgh[:, :, : 2 * n]
+        dgx, dgh = dgx.reshape(-1, 3 * n), dgh.reshape(-1, 3 * n)
+        grads["wx"], grads["wh"], grads["b"] = cache["x"].T @ dgx, cache["h"].reshape(-1, n).T @ dgh, dgx.sum(axis=0)
+        d_emb = dgx @ p["wx"].T
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         cut = F32(min(1.0, 1.0 / max(norm, 1e-9)))
         for name, g in grads.items():
             g *= cut
             squares[name] += g * g
-            p[name] -= rate * g / np.sqrt(squares[name] + 1e-8)
+            root = np.sqrt(squares[name])
+            root += F32(1e-4)
+            g /= root
+            g *= rate
+            p[name] -= g
         ids = prev.ravel()
         order = np.argsort(ids, kind="stable")
         head = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
-        g = np.add.reduceat(d_emb.reshape(-1, n)[order], head, axis=0) * cut
+        g = np.add.reduceat(d_emb[order], head, axis=0) * cut
         row = ids[order][head]
         squares["emb"][row] += g * g
-        p["emb"][row] -= rate * g / np.sqrt(squares["emb"][row] + 1e-8)
+        p["emb"][row] -= rate * g / (np.sqrt(squares["emb"][row]) + F32(1e-4))
         return last, loss
 
 
@@ -183,25 +217,42 @@ def lanes_of(length: np.ndarray, count: int) -> list[list[int]]:
     return sorted(lanes, key=lambda x: -sum(int(length[d]) for d in x))
 
 
-def lane_windows(tokens: np.ndarray, first: np.ndarray, end: int, count: int, window: int):
-    """Windows over lanes: (lanes in use, previous tokens, resets, tokens, positions, mask), all (steps, lanes) but the first."""
+def inputs(tokens: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
+    """The token before each token of its document; before the first, the end."""
+    out = np.append(end, tokens[:-1]).astype(tokens.dtype)
+    out[first[:-1]] = end
+    return out
+
+
+def stretches(first: np.ndarray, longest: int) -> np.ndarray:
+    """Offsets of documents cut into stretches of at most ``longest`` tokens."""
+    length = np.diff(first)
+    count = np.maximum(1, -(-length // longest))
+    return np.append(K.ranges(np.zeros(len(count), np.int64), count) * longest + np.repeat(first[:-1], count), first[-1])
+
+
+def lane_windows(tokens: np.ndarray, prevs: np.ndarray, first: np.ndarray, count: int, window: int, widen: int = 1):
+    """Windows over lanes: (lanes in use, previous tokens, resets, tokens, positions, mask), all (steps, lanes) but the first.
+
+    Where few lanes are left, a window is up to ``widen`` times as long.
+    """
     length = np.diff(first)
     lanes = lanes_of(length, count)
     docs = np.array([d for lane in lanes for d in lane], np.int64)
     where = K.ranges(first[docs], length[docs])
     total = np.array([int(length[lane].sum()) for lane in lanes])
     start = np.append(0, np.cumsum(total))[:-1]
-    flat = tokens[where]
+    flat, prev = tokens[where], prevs[where]
     opens = np.zeros(len(flat), bool)
     opens[np.append(0, np.cumsum(length[docs]))[:-1]] = True
-    prev = np.append(end, flat[:-1]).astype(flat.dtype)
-    prev[opens] = end
-    for t in range(0, int(total.max(initial=0)), window):
+    t, last = 0, int(total.max(initial=0))
+    while t < last:
         live = int((total > t).sum())
-        step = t + np.arange(min(window, int(total[0]) - t))
+        step = t + np.arange(min(window * min(widen, max(1, len(lanes) // live)), last - t))
         mask = step[:, None] < total[None, :live]
         at = np.minimum(start[None, :live] + step[:, None], len(flat) - 1)
         yield live, prev[at], opens[at].astype(F32), flat[at], where[at], mask
+        t += len(step)
 
 
 class Tokens:
@@ -257,7 +308,7 @@ def _counted(batches):
         yield out()
 
 
-def _trained(net: Network, tokens: Tokens, lanes: int, window: int, rate: float):
+def _trained(net: Network, tokens: Tokens, lanes: int, window: int, stretch: int, rate: float):
     def run(batches):
         local, seen = pickle.loads(pickle.dumps(net)), 0
         squares = {k: np.zeros_like(v) for k, v in local.p.items()}
@@ -265,8 +316,8 @@ def _trained(net: Network, tokens: Tokens, lanes: int, window: int, rate: float)
             if not batch.num_rows:
                 continue
             ids, first = _gathered(batch, tokens)
-            h = np.zeros((min(lanes, batch.num_rows), local.hidden), F32)
-            for live, prev, reset, tok, _, mask in lane_windows(ids, first, tokens.end, lanes, window):
+            h = np.zeros((lanes, local.hidden), F32)
+            for live, prev, reset, tok, _, mask in lane_windows(ids, inputs(ids, first, tokens.end), stretches(first, stretch), lanes, window):
                 h, _ = local.step(h[:live], prev, reset, tok, mask, F32(rate), squares)
             seen += len(ids)
         if seen:
@@ -338,7 +389,7 @@ def _scored(net: Network, tokens: Tokens, head: Lookup, tail_logs: np.ndarray, e
         owner = np.repeat(np.arange(batch.num_rows), np.diff(first))
         total = np.zeros(batch.num_rows)
         h = np.zeros((min(lanes, batch.num_rows), net.hidden), F32)
-        for live, prev, reset, tok, where, mask in lane_windows(ids, first, tokens.end, lanes, window):
+        for live, prev, reset, tok, where, mask in lane_windows(ids, inputs(ids, first, tokens.end), first, lanes, window, 16):
             h, states, _ = net.run(h[:live], prev, reset, False)
             at = np.flatnonzero(mask.ravel())
             log = net.log_prob(states.reshape(-1, net.hidden)[at], tok.ravel()[at].astype(np.int64))
@@ -371,7 +422,7 @@ def _answer(requests: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array(join(out[0], np.int64), pa.int64()), "more": pa.array(join(out[1], float), pa.float64()), "seen": pa.array(join(out[2], np.int64), pa.int64())})
 
 
-def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int = 24, classes: int | None = None, rounds: int = 3, every: int | None = None, lanes: int = 512, train_lanes: int = 64, window: int = 32, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int = 24, classes: int | None = None, rounds: int = 3, every: int | None = None, lanes: int = 512, train_lanes: int = 128, train_window: int = 16, window: int = 32, stretch: int = 1024, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``, in log10.
 
     Round r trains on the documents of one hash residue of ``every``, by default ``rounds``, so that each trains once.
@@ -406,7 +457,7 @@ def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int
     net = Network(frequency[order] / frequency.sum(), hidden, classes, seed)
     for r in range(rounds):
         mine = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(every)) == r % every).select("text")
-        _averaged(written(mine.mapInArrow(_trained(net, tokens, train_lanes, window, rate), "i long, n double, blob binary")), net)
+        _averaged(written(mine.mapInArrow(_trained(net, tokens, train_lanes, train_window, stretch, rate), "i long, n double, blob binary")), net)
     known_heads = Lookup(heads["word"].view(np.uint64), np.log10(heads["n"] + 0.5))
     scanned = written(rows.mapInArrow(_scored(net, tokens, known_heads, tail_logs, math.log10(ends + 0.5), ends > 0, lanes, window, shards), PASS))
     asked = scanned.where("shard is not null")

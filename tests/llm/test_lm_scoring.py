@@ -9,6 +9,7 @@ import numpy as np
 from sievelight.llm import lm_scoring as L
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def small(hidden=5, size=12, classes=4):
@@ -42,11 +43,11 @@ def test_probabilities_sum_to_one_and_lanes_equal_sequences():
     length = np.array([1, 7, 40, 3, 1, 19])
     first = np.append(0, np.cumsum(length))
     ids = rng.integers(0, 12, first[-1]).astype(np.int16)
-    for lanes, window in ((1, 4), (3, 5), (8, 64)):
+    for lanes, window, widen in ((1, 4, 1), (3, 5, 4), (8, 64, 1)):
         net.freeze()
         got, h = np.zeros(6), np.zeros((min(lanes, 6), 5), np.float32)
         owner = np.repeat(np.arange(6), length)
-        for live, prev, reset, tok, where, mask in L.lane_windows(ids, first, 0, lanes, window):
+        for live, prev, reset, tok, where, mask in L.lane_windows(ids, L.inputs(ids, first, 0), first, lanes, window, widen):
             h, states, _ = net.run(h[:live], prev, reset, False)
             at = np.flatnonzero(mask.ravel())
             got += np.bincount(owner[where.ravel()[at]], net.log_prob(states.reshape(-1, 5)[at], tok.ravel()[at].astype(np.int64)), 6)
@@ -138,3 +139,26 @@ def test_defaults_train_on_every_document_with_a_growing_vocabulary(spark, monke
     many = spark.createDataFrame([(d, " ".join(f"v{d}x{i}" for i in range(500))) for d in range(20)], "doc_id long, text string")
     L.score_documents(many, hidden=4, classes=64, rounds=1, every=1000, lanes=16, train_lanes=8).first()
     assert sizes[-1] > 7000
+
+
+def test_stretches_cover_documents():
+    first = np.array([0, 5, 5, 12])
+    assert L.stretches(first, 3).tolist() == [0, 3, 5, 5, 8, 11, 12]
+    assert L.stretches(np.array([0, 0]), 3).tolist() == [0, 0]
+
+
+def test_supplied_table(spark):
+    """Base scores against a direct count; the trained model beats them on held-out documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: [w.translate(LOWER) for w in WORD.findall(r.text or "")] + [None] for r in docs.collect()}
+    held = {i for i in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    count = Counter(w for i, ws in rows.items() if i not in held for w in ws)
+    n, v = sum(count.values()), len(count)
+    got = L.score_documents(docs).collect()
+    assert {r.doc_id for r in got} == set(rows)
+    for r in got:
+        ws = rows[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(ws), sum(w in count for w in ws), n)
+        assert abs(r.base_score - sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6 * len(ws) + 1e-6
+    mine = [r for r in got if r.held_out]
+    assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
