@@ -8,6 +8,8 @@ Null texts count as empty.  Words are maximal runs of bytes outside ``[\\x20\\x0
 from __future__ import annotations
 
 import ctypes
+import glob
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,6 +69,15 @@ def release() -> None:
         trim(0)
 
 
+def one_thread() -> None:
+    """Keeps numpy's matrix products on this thread: Spark runs a task on each core, and small products spin when split."""
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def slices(batch: pa.RecordBatch, name: str, max_bytes: int = 3 << 18):
     """Consecutive pieces of a batch with about ``max_bytes`` of text each; one longer text stands alone."""
     if not batch.num_rows:

@@ -310,6 +310,7 @@ def _counted(batches):
 
 def _trained(net: Network, tokens: Tokens, lanes: int, window: int, stretch: int, rate: float):
     def run(batches):
+        K.one_thread()
         local, seen = pickle.loads(pickle.dumps(net)), 0
         squares = {k: np.zeros_like(v) for k, v in local.p.items()}
         for batch in batches:
@@ -358,6 +359,7 @@ def _scored(net: Network, tokens: Tokens, head: Lookup, tail_logs: np.ndarray, e
     """Model scores, the head's part of the base sums, and requests for the counts of other words."""
 
     def run(batches):
+        K.one_thread()
         net.freeze()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -422,7 +424,7 @@ def _answer(requests: pa.Table, counts: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array(join(out[0], np.int64), pa.int64()), "more": pa.array(join(out[1], float), pa.float64()), "seen": pa.array(join(out[2], np.int64), pa.int64())})
 
 
-def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int = 24, classes: int | None = None, rounds: int = 3, every: int | None = None, lanes: int = 512, train_lanes: int = 128, train_window: int = 16, window: int = 32, stretch: int = 1024, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int = 24, classes: int | None = None, rounds: int = 3, every: int | None = None, lanes: int = 512, train_lanes: int = 256, train_window: int = 16, window: int = 32, stretch: int = 1024, rate: float = 0.1, head: int = 1 << 17, shards: int = 64, group_bytes: int = 1 << 25, seed: int = 5) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs(doc_id, text)``, in log10.
 
     Round r trains on the documents of one hash residue of ``every``, by default ``rounds``, so that each trains once.
