@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import written  # noqa: F401 (for the operators)
+
 
 def pick(df: DataFrame, **kinds: str) -> DataFrame:
     """The named columns of ``df``, cast; a missing one is null.
@@ -21,23 +22,6 @@ def pick(df: DataFrame, **kinds: str) -> DataFrame:
     return plain.select(*[(F.col(f"_{at[k]}") if k in at else F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: its lineage is cut and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sievelight-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,8 +49,9 @@ class BlockedBloom:
     def _probe(self, df: DataFrame, column: str, hit: bool, keep_null: bool = False) -> DataFrame:
         block, mask = self._bits(F.col(column))
         inner = hit and not keep_null
-        both = df.withColumns({"_block": block, "_mask": mask}).join(F.broadcast(self.table), "_block", "inner" if inner else "left")
-        found = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        at, bits, want = (unused(df, x) for x in ("block", "bits", "mask"))
+        both = df.withColumns({at: block, want: mask}).join(F.broadcast(self.table.toDF(at, bits)), at, "inner" if inner else "left")
+        found = F.coalesce(F.col(bits).bitwiseAND(F.col(want)) == F.col(want), F.lit(False))
         if keep_null:
             found = found | F.col(column).isNull()
         return both.where(found if hit else ~found).select(*df.columns)
@@ -104,21 +89,35 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids(id)``.
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that no column of ``df`` has, in any case."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
+def row_key() -> Column:
+    """The key of a row of documents: its id and its text."""
+    return F.xxhash64("doc_id", F.xxhash64("text"))
+
+
+def without(docs: DataFrame, ids: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` (a long) is not in ``ids(id)``; rows with a null doc_id stay.
 
     Only rows that a bounded Bloom filter of the ids lets through take part in the join; the texts of all
     others stay in their scan.
     """
     ids = written(ids.where("id is not null").distinct())
     bloom = BlockedBloom(ids, "id", ids.count())
-    near = bloom.maybe(docs, "doc_id").join(ids.withColumn("_gone", F.lit(True)), F.col("doc_id") == F.col("id"), "left")
-    return bloom.surely_not(docs, "doc_id").unionByName(near.where("_gone is null").select(*docs.columns))
+    k, gone = unused(docs, "key"), unused(docs, "gone")
+    keyed = docs.withColumn(k, F.when(F.col("doc_id").isNotNull(), key))
+    near = bloom.maybe(keyed, k).join(ids.select(F.col("id").alias(gone)), F.col(k) == F.col(gone), "left_anti")
+    return bloom.surely_not(keyed, k).unionByName(near).select(*docs.columns)
 
 
 def one_row_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row (any) of each doc_id that comes more than once; rows without one stay."""
-    ids = written(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    """``docs`` with one row (any) of those that share both doc_id and text; rows without a doc_id stay."""
+    k = unused(docs, "key")
+    keyed = docs.withColumn(k, F.when(F.col("doc_id").isNotNull(), row_key()))
+    ids = written(keyed.where(F.col(k).isNotNull()).groupBy(F.col(k).alias("id")).count().where("count > 1").select("id"))
     bloom = BlockedBloom(ids, "id", ids.count())
-    near = bloom.maybe(docs, "doc_id").where("doc_id is not null").dropDuplicates(["doc_id"])
-    return bloom.surely_not(docs, "doc_id").unionByName(near).unionByName(bloom.maybe(docs, "doc_id").where("doc_id is null"))
+    near = bloom.maybe(keyed, k).dropDuplicates(["doc_id", "text"])
+    return bloom.surely_not(keyed, k).unionByName(near).select(*docs.columns)

@@ -9,9 +9,9 @@ language and of the address suffix + the log prior of the host.
     are dependent, the likelihood is scaled to ``evidence`` effective n-grams at most.
 *   Declared language and address suffix (the two-letter first path part, else the top-level domain) of the
     page with the document's id: confusion counts P(declared | language) from grouped counts over all rows, where
-    the language is the best one by text alone, with additive smoothing.
+    the language is the best one by text alone, with additive smoothing over the kinds of cues seen and one more.
 *   Host prior: counts by host, smoothed towards its top-level domain, that towards all rows, each with a
-    Dirichlet weight.  The host is that of the page if there is one, else the document's source.
+    Dirichlet weight; a document's own text verdict is left out of its host's and domain's counts.  The host is that of the page if there is one, else the document's source.
 
 All of these are grouped aggregations over the whole table; what is broadcast is the n-gram table (its size
 is fixed) and the prior tables of suffixes.  Host priors are joined by host, with hot hosts left to AQE.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import pick, written
+from .common import pick, row_key, written
 
 CELLS = 1 << 16
 
@@ -115,12 +115,15 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id").agg(F.min_by(F.struct("declared", "suffix", "host"), F.coalesce("url", F.lit(""))).alias("e")).select("page_id", "e.*")
 
 
-def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 2000, evidence: float = 40.0, least: float = 0.5, trust: float = 0.5, smooth: float = 20.0) -> DataFrame:
-    """``(doc_id, language, posterior, text_language, declared, suffix, host, rejected)`` for every row of ``docs(doc_id, text, lang, source)``."""
-    rows = pick(docs, doc_id="long", text="string", lang="string", source="string")
+def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 2000, evidence: float = 40.0, least: float = 0.5, trust: float = 0.5, smooth: float = 20.0, keyed: bool = False) -> DataFrame:
+    """``(doc_id, language, posterior, text_language, declared, suffix, host, rejected)`` for every row of ``docs(doc_id, text, lang, source)``.
+
+    With ``keyed`` comes also ``row_key`` (see :func:`.common.row_key`), which tells different texts of one doc_id apart.
+    """
+    rows = pick(docs, doc_id="long", text="string", lang="string", source="string").withColumn("row_key", row_key())
     languages, table = train(rows, max_rows)
     k = len(languages)
-    scored = rows.drop("lang").mapInArrow(_scored(table), "doc_id long, source string, grams long, likelihood array<double>")
+    scored = rows.drop("lang").mapInArrow(_scored(table), "doc_id long, source string, row_key long, grams long, likelihood array<double>")
     if pages is not None:
         scored = scored.join(page_evidence(pages), F.col("doc_id") == F.col("page_id"), "left").drop("page_id")
     else:
@@ -133,12 +136,15 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 20
     scored = written(scored.withColumns({"best": F.when(F.col("grams") > 0, best), "unknown": unknown, "host": host, "zone": F.element_at(F.split(host, r"\."), -1)}).drop("likelihood"))
     sure = scored.where("best is not null and not unknown")
     # P(cue | language): how often a language's documents carry the cue
-    cue = {}
+    cue, unseen = {}, {}
     for name in ("declared", "suffix"):
-        counts = sure.where(F.col(name).isNotNull()).groupBy(name, "best").agg(F.count("*").alias("n"))
-        of_language = counts.groupBy("best").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        shares = counts.join(F.broadcast(of_language), "best").select(name, "best", F.log((F.col("n") + 1.0) / (F.col("total") + F.col("kinds") + 1.0)).alias("log"), F.log(1.0 / (F.col("total") + F.col("kinds") + 1.0)).alias("none"))
+        counts = written(sure.where(F.col(name).isNotNull()).groupBy(name, "best").agg(F.count("*").alias("n")))
+        kinds = counts.select(name).distinct().count()
+        totals = {r.best: r.n for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}  # one row a language
+        of_language = F.array(*[F.lit(float(totals.get(i, 0) + kinds + 1)) for i in range(k)])
+        shares = counts.select(name, "best", F.log((F.col("n") + 1.0) / F.get(of_language, F.col("best"))).alias("log"))
         cue[name] = shares.groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct("best", "log"))).alias(f"{name}_logs"))
+        unseen[name] = [-float(np.log(totals.get(i, 0) + kinds + 1)) for i in range(k)]
     # host priors: host -> zone -> all rows
     total = sure.groupBy("best").agg(F.count("*").alias("n")).collect()  # one row a language
     everywhere = np.full(k, 1.0)
@@ -147,20 +153,22 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 20
     everywhere = (everywhere / everywhere.sum()).tolist()
     tally = lambda key: sure.groupBy(key).agg(*[F.sum((F.col("best") == i).cast("double")).alias(f"{key}_{i}") for i in range(k)], F.count("*").cast("double").alias(f"{key}_n"))
     zones, hosts = tally("zone"), tally("host")
-    zones = zones.select("zone", F.array(*[(F.col(f"zone_{i}") + smooth * everywhere[i]) / (F.col("zone_n") + smooth) for i in range(k)]).alias("zone_prior"))
+    zones = zones.select("zone", F.array(*[F.col(f"zone_{i}") for i in range(k)]).alias("zone_count"), "zone_n")
     hosts = hosts.select("host", F.array(*[F.col(f"host_{i}") for i in range(k)]).alias("host_count"), "host_n")
     out = scored.join(hosts, "host", "left").join(zones, "zone", "left")
     for name, logs in cue.items():
         out = out.join(logs, name, "left")
-    base = F.coalesce("zone_prior", F.array(*[F.lit(x) for x in everywhere]))
+    counted = F.col("best").isNotNull() & ~F.col("unknown")  # then its own verdict is among the counts
 
     def posterior(i: int):
-        own = F.coalesce(F.element_at("host_count", i + 1), F.lit(0.0))
-        prior = F.log((own + smooth * F.element_at(base, i + 1)) / (F.coalesce("host_n", F.lit(0.0)) + smooth))
+        self_n, self_i = counted.cast("double"), (counted & (F.col("best") == i)).cast("double")
+        less = lambda count, own: F.coalesce(count - own, F.lit(0.0))
+        zone = (less(F.get("zone_count", F.lit(i)), self_i) + smooth * everywhere[i]) / (less(F.col("zone_n"), self_n) + smooth)
+        prior = F.log((less(F.get("host_count", F.lit(i)), self_i) + smooth * zone) / (less(F.col("host_n"), self_n) + smooth))
         value = F.element_at("text_log", i + 1) + prior
         for name in cue:
             there = F.col(f"{name}_logs").isNotNull()
-            value = value + F.when(there, trust * F.coalesce(F.element_at(f"{name}_logs", F.lit(i)), F.lit(-8.0))).otherwise(0.0)
+            value = value + F.when(there, trust * F.coalesce(F.element_at(f"{name}_logs", F.lit(i)), F.lit(unseen[name][i]))).otherwise(0.0)
         return value
 
     out = out.withColumn("logs", F.array(*[posterior(i) for i in range(k)]))
@@ -168,5 +176,5 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, max_rows: int = 20
     name = F.element_at(F.array(*[F.lit(x) for x in languages]), F.array_position("logs", top).cast("int"))
     text_name = F.when(F.col("best").isNotNull(), F.element_at(F.array(*[F.lit(x) for x in languages]), F.col("best") + 1))
     sure_of = 1.0 / F.aggregate(F.transform("logs", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, b: a + b)
-    out = out.select("doc_id", name.alias("language"), sure_of.alias("posterior"), text_name.alias("text_language"), "declared", "suffix", "host", "unknown")
-    return out.select("doc_id", "language", "posterior", "text_language", "declared", "suffix", "host", (F.col("unknown") | (F.col("posterior") < least)).alias("rejected"))
+    out = out.select("doc_id", name.alias("language"), sure_of.alias("posterior"), text_name.alias("text_language"), "declared", "suffix", "host", "unknown", "row_key")
+    return out.select("doc_id", "language", "posterior", "text_language", "declared", "suffix", "host", (F.col("unknown") | (F.col("posterior") < least)).alias("rejected"), *(["row_key"] if keyed else []))

@@ -2,9 +2,9 @@
 
 Per document: base measures (see :func:`judge`).  Across documents: every line is normalised (its words, A-Z
 lower-cased, joined by one space) and hashed to 64 bits; for each host the distinct documents with the line
-are counted, copies of one text counting once.  A line in more than ``max(min_docs, share * texts of the
-host)`` of a host's distinct texts is removed there, and a document that keeps less than ``keep`` of its words is
-rejected.  Counting and removal work on distinct (host, text) pairs and on distinct lines of a text, with
+are counted; a document is a doc_id with a text, so repeated rows count once, and copies under other ids each.  A line in more than
+``max(min_docs, share * documents of the host)`` of a host's documents is removed there, and a document that keeps less than ``keep``
+of its words is rejected.  Lines are taken from distinct (host, text) pairs, each weighing as many documents as have it, with
 partial sums before each shuffle, so neither a hot host, line nor group of copies gathers in one task.
 
 Defined results: null or empty text has no words and fails the base rules; a null host is a host of its own;
@@ -104,20 +104,22 @@ def _measured(batches):
 
 
 def judge(docs: DataFrame, min_docs: int = 20, share: float = 0.05, keep: float = 0.5) -> DataFrame:
-    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_line_words_removed, kept)``.
+    """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_line_words_removed)``.
 
     For every row of ``docs(doc_id, text, source)``, source being the host.  Base rules: at least 50 words, and
     at most half of the words in 3-word windows that the text holds twice.
     """
     docs = pick(docs, doc_id="long", text="string", source="string").withColumnRenamed("source", "host")
     rows = written(docs.mapInArrow(_measured, ROWS))
-    texts = rows.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("h"), "low", "high", "lines", "line_words").dropDuplicates(["h", "low", "high"])
-    lines = written(texts.select("h", "low", "high", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("h", "low", "high", "l.lines", "l.line_words"))
-    hosts = rows.select(F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("h"), "low", "high").distinct().groupBy("h").agg(F.count("*").alias("texts"))
-    common = lines.groupBy("h", "lines").agg(F.count("*").alias("n")).where(F.col("n") > min_docs).join(hosts, "h").where(F.col("n") > F.col("texts") * share).select("h", "lines")
+    host = F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")).alias("h")
+    copies = rows.select(host, "low", "high", "doc_id").distinct().groupBy("h", "low", "high").agg(F.count("*").alias("docs"))
+    texts = rows.select(host, "low", "high", "lines", "line_words").dropDuplicates(["h", "low", "high"]).join(copies, ["h", "low", "high"])
+    lines = written(texts.select("h", "low", "high", "docs", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("h", "low", "high", "docs", "l.lines", "l.line_words"))
+    hosts = copies.groupBy("h").agg(F.sum("docs").alias("all_docs"))
+    common = lines.groupBy("h", "lines").agg(F.sum("docs").alias("n")).where(F.col("n") > min_docs).join(hosts, "h").where(F.col("n") > F.col("all_docs") * share).select("h", "lines")
     cut = lines.join(written(common), ["h", "lines"]).groupBy("h", "low", "high").agg(F.sum("line_words").alias("gone"))
     cut = cut.select(F.col("h").alias("_h"), F.col("low").alias("_low"), F.col("high").alias("_high"), "gone")
     same = (F.coalesce(F.concat(F.lit("h"), "host"), F.lit("n")) == F.col("_h")) & (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high"))
     out = rows.drop("lines", "line_words").join(cut, same, "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("gone").alias("n_line_words_removed"), (~failed & (F.col("n_words") - F.col("gone") >= F.col("n_words") * keep)).alias("kept"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("n_words") - F.col("gone") >= F.col("n_words") * keep)).alias("kept"), F.col("gone").alias("n_line_words_removed"))

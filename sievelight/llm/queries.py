@@ -133,16 +133,16 @@ t AS (SELECT rid, i, w, lead(w, 1) OVER p AS b, lead(w, 2) OVER p AS c FROM w WI
 twice AS (SELECT rid, i FROM t WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY rid, w, b, c) > 1),
 rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY rid),
 sizes AS (SELECT rid, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY rid),
-cut AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
+cut AS (SELECT rid, doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 lines AS (
-  SELECT rid, source, text, line, len(ws) AS n, array_to_string(ws, ' ') AS norm
+  SELECT rid, doc_id, source, text, line, len(ws) AS n, array_to_string(ws, ' ') AS norm
   FROM (SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM cut)
   WHERE len(ws) > 0),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
+hosts AS (SELECT source, count(DISTINCT {'d': doc_id, 't': text}) AS all_docs FROM d GROUP BY source),
 common AS (
-  SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT text) AS n FROM lines GROUP BY source, norm) l
-  JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE n > 20 AND n > 0.05 * texts),
+  SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT {'d': doc_id, 't': text}) AS n FROM lines GROUP BY source, norm) l
+  JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE n > 20 AND n > 0.05 * all_docs),
 gone AS (SELECT rid, sum(n) AS n FROM lines l JOIN common c ON c.source IS NOT DISTINCT FROM l.source AND c.norm = l.norm GROUP BY rid),
 all_of AS (
   SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
@@ -150,8 +150,8 @@ all_of AS (
     coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS gone
   FROM d LEFT JOIN sizes USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CAST(gone AS BIGINT) AS n_line_words_removed,
-  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words) AS kept
+  (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - gone >= 0.5 * n_words) AS kept, CAST(gone AS BIGINT) AS n_line_words_removed
 FROM all_of
 """
 

@@ -13,7 +13,8 @@ sequence that starts earlier too: in a smaller doc_id, or in the same document a
     the rows elsewhere and part the two.
 3.  A partition is sorted by (minimiser, doc_id, start) by Spark, then streamed: windows are unpacked,
     sorted by their 128-bit hashes, and every one but the first is a repeat.  A task holds a bounded piece
-    and the distinct windows of one minimiser.
+    and the distinct windows of one minimiser.  A minimiser that very many runs share (a common phrase with other words around it)
+    is split: its windows travel singly, dealt by their own hash.
 4.  Repeats come back as word ranges and are joined to their documents; a bounded Bloom filter of the
     documents concerned keeps all other texts out of that shuffle.
 
@@ -37,7 +38,7 @@ from .common import BlockedBloom, pick, written
 
 RUN = 5
 LAST = (1 << 63) - 1
-PACKED = "least long, doc_id long, tag int, start int, stop int, words binary"
+PACKED = "least long, deal long, doc_id long, tag int, start int, stop int, words binary"
 RANGES = "doc_id long, tag int, start int, stop int"
 
 
@@ -135,7 +136,9 @@ def _minimisers(size: int):
     return run
 
 
-def _pack(size: int):
+def _pack(size: int, hot: np.ndarray):
+    """Runs as packed strings; ``deal`` says where to: by minimiser, but single windows by their hash if it is among the ``hot`` (rising)."""
+
     def run(batches):
         for batch in batches:
             for part in K.slices(batch, "text"):
@@ -150,35 +153,42 @@ def _pack(size: int):
         if len(a):  # repeats found here leave as ranges; they need no bucket
             yield rows(None, ids[text[a]], tags[text[a]], start[a], start[b] + size, np.zeros(0, np.uint8), np.zeros(len(a) + 1, np.int64))
         if len(c):
+            deal = least[c]
+            if len(hot):
+                many = hot[np.minimum(np.searchsorted(hot, deal), len(hot) - 1)] == deal
+                single = K.ranges(c[many], d[many] - c[many] + 1)
+                one = K.windows(words, words.hashes(), size)[0]
+                deal = np.concatenate([deal[~many], K.mix64(least[single] ^ one[single])])
+                c, d = np.concatenate([c[~many], single]), np.concatenate([d[~many], single])
             data, where = joined(words)
             begin, end = where[at[c]], where[at[d] + size] - 1
-            yield rows(least[c].view(np.int64), ids[text[c]], tags[text[c]], start[c], start[d] + size, K.gather(data, begin, end), np.append(0, np.cumsum(end - begin)))
+            yield rows((least[c].view(np.int64), deal.view(np.int64)), ids[text[c]], tags[text[c]], start[c], start[d] + size, K.gather(data, begin, end), np.append(0, np.cumsum(end - begin)))
 
     def rows(least, doc, tag, start, stop, data, offsets):
-        least = pa.nulls(len(doc), pa.int64()) if least is None else pa.array(least, pa.int64())
-        return pa.RecordBatch.from_arrays([least, pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), K.binary_column(data, offsets)], names=["least", "doc_id", "tag", "start", "stop", "words"])
+        dealt = [pa.nulls(len(doc), pa.int64())] * 2 if least is None else [pa.array(x, pa.int64()) for x in least]
+        return pa.RecordBatch.from_arrays([*dealt, pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()), K.binary_column(data, offsets)], names=["least", "deal", "doc_id", "tag", "start", "stop", "words"])
 
     return run
 
 
 def _count(size: int):
-    """Streams rows in (least, doc_id, start) order and yields the ranges of repeated windows."""
+    """Streams rows in (deal, doc_id, start) order and yields the ranges of repeated windows."""
 
     def run(batches):
-        seen = None  # (minimiser, hashes, second hashes, doc, start) of the last minimiser's distinct windows
+        seen = None  # (deal, hashes, second hashes, doc, start) of the last one's distinct windows
         for batch in batches:
             for part in K.slices(batch, "words"):
-                local = part.filter(pc.is_null(part.column("least")))
+                local = part.filter(pc.is_null(part.column("deal")))
                 if local.num_rows:
                     yield local.select(["doc_id", "tag", "start", "stop"])
-                part = part.filter(pc.is_valid(part.column("least")))
+                part = part.filter(pc.is_valid(part.column("deal")))
                 if part.num_rows:
                     out, seen = piece(part, seen)
                     if out.num_rows:
                         yield out
 
     def piece(part, seen):
-        least, doc, tag, start = (part.column(c).to_numpy(zero_copy_only=False) for c in ("least", "doc_id", "tag", "start"))
+        least, doc, tag, start = (part.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "doc_id", "tag", "start"))
         words = K.split_words(part.column("words").cast(pa.large_binary()).view(pa.large_string()))
         one, at = K.windows(words, words.hashes(), size)
         two, _ = K.windows(words, words.hashes(K.BASES[1]), size, K.WORD_BASES[1])
@@ -238,14 +248,18 @@ def _strip(text_out: bool):
     return run
 
 
-def repeated_ranges(docs: DataFrame, size: int = 20) -> DataFrame:
-    """``(doc_id, tag, start, stop)``: word ranges of ``docs(doc_id, tag, text)`` that repeat earlier ones; they may overlap."""
+def repeated_ranges(docs: DataFrame, size: int = 20, hot_runs: int = 2048, most_hot: int = 1 << 17) -> DataFrame:
+    """``(doc_id, tag, start, stop)``: word ranges of ``docs(doc_id, tag, text)`` that repeat earlier ones; they may overlap.
+
+    Minimisers with more than ``hot_runs`` runs are hot; of very many, the ``most_hot`` with most runs.
+    """
     docs = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(LAST)))
-    shared = written(docs.select("doc_id", "text").mapInArrow(_minimisers(size), "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1").select("least"))
+    shared = written(docs.select("doc_id", "text").mapInArrow(_minimisers(size), "least long, n long").groupBy("least").agg(F.sum("n").alias("n")).where("n > 1"))
     bloom = BlockedBloom(shared, "least", shared.count(), max_blocks=1 << 20)
-    packed = bloom.maybe(docs.mapInArrow(_pack(size), PACKED), "least", keep_null=True)
+    hot = shared.where(F.col("n") > hot_runs).orderBy(F.desc("n"), "least").limit(most_hot).select("least").toArrow().column("least").to_numpy()
+    packed = bloom.maybe(docs.mapInArrow(_pack(size, np.sort(hot.astype(np.int64).view(np.uint64))), PACKED), "least", keep_null=True)
     # rows without a minimiser are settled ranges; they are dealt by document
-    dealt = packed.repartition(F.coalesce("least", F.xxhash64("doc_id"))).sortWithinPartitions("least", "doc_id", "start")
+    dealt = packed.repartition(F.coalesce("deal", F.xxhash64("doc_id"))).sortWithinPartitions("deal", "doc_id", "start")
     return dealt.mapInArrow(_count(size), RANGES)
 
 
@@ -264,8 +278,8 @@ def _applied(docs: DataFrame, size: int) -> DataFrame:
     bloom = BlockedBloom(keys, "key", keys.count())
     keyed = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).withColumn("_key", F.xxhash64("_id", "tag"))
     near, far = bloom.maybe(keyed, "_key"), bloom.surely_not(keyed, "_key")
-    spans = spans.withColumnRenamed("doc_id", "_id").withColumnRenamed("tag", "_tag")
-    near = near.join(spans, (near["_id"] == spans["_id"]) & (near["tag"] == spans["_tag"]), "left").select(*docs.columns, "spans")
+    spans = spans.toDF("_doc", "_tag", "spans")
+    near = near.join(spans, (F.col("_id") == F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select(*docs.columns, "spans")
     return near.unionByName(far.select(*docs.columns, F.lit(None).cast("array<struct<start:int,stop:int>>").alias("spans")))
 
 
@@ -304,7 +318,12 @@ def strip_texts(docs: DataFrame, size: int = 20) -> DataFrame:
 
     All columns of ``docs`` stay; texts without a repeat stay as they are, white space included.
     """
-    tagged = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "tag": F.hash("text")})
+    # inside, the other columns have names of their own, so that none of theirs can clash
+    names = docs.columns
+    where = {n: names.index(n) for n in ("doc_id", "text")}
+    inner = [next((n for n, i in where.items() if i == j), f"c{j}") for j in range(len(names))]
+    tagged = docs.toDF(*inner).withColumns({"doc_id": F.col("doc_id").cast("long"), "tag": F.hash("text")})
     applied = _applied(tagged, size)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tagged.schema)
-    return applied.mapInArrow(_strip_text, f"{kinds}, n_left long, n_removed long").drop("tag")
+    cut = applied.mapInArrow(_strip_text, f"{kinds}, n_left long, n_removed long").drop("tag")
+    return cut.toDF(*names, "n_left", "n_removed")

@@ -52,7 +52,7 @@ def brute(docs, pages, evidence=40.0, least=0.5, trust=0.5, smooth=20.0):
     tables = []
     for k in (3, 4):
         n = Counter((r[k], r[2]) for r in rows if r[k] is not None and r[2] is not None)
-        tables.append((n, {b: sum(v for (_, x), v in n.items() if x == b) for _, b in n}, Counter(b for _, b in n)))
+        tables.append((n, Counter(r[2] for r in rows if r[k] is not None and r[2] is not None), len({c for c, _ in n})))
     zone = lambda h: h.split(".")[-1]
     everywhere, zones, hosts = Counter(), defaultdict(Counter), defaultdict(Counter)
     for r in rows:
@@ -66,13 +66,15 @@ def brute(docs, pages, evidence=40.0, least=0.5, trust=0.5, smooth=20.0):
         post = []
         for i, x in enumerate(langs):
             base = (everywhere[i] + 1) / total
-            z, h = zones.get(zone(host)), hosts.get(host, Counter())
-            if z is not None:
-                base = (z[i] + smooth * base) / (sum(z.values()) + smooth)
+            own = Counter([best] if best is not None else [])
+            z, h = Counter(zones.get(zone(host), {})), Counter(hosts.get(host, {}))
+            z.subtract(own)
+            h.subtract(own)
+            base = (z[i] + smooth * base) / (sum(z.values()) + smooth)
             value = logs[i] + math.log((h[i] + smooth * base) / (sum(h.values()) + smooth))
             for (n, sums, kinds), cue in zip(tables, (declared, suffix), strict=True):
                 if cue is not None and any(c == cue for c, _ in n):
-                    value += trust * (math.log((n[cue, i] + 1) / (sums[i] + kinds[i] + 1)) if (cue, i) in n else -8.0)
+                    value += trust * math.log((n[cue, i] + 1) / (sums[i] + kinds + 1))
             post.append(value)
         top = max(post)
         sure = 1 / sum(math.exp(v - top) for v in post)

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sievelight.llm.near_dedup import near_duplicates
+from sievelight.llm.near_dedup import bands_for, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -62,5 +62,19 @@ def test_odd_rows(spark):
     assert got == sorted([(None, 2, None, True), (1, 2, 1, True), (2, 2, 1, False), (2, 2, 1, False)], key=str)
 
 
+def test_texts_that_share_a_doc_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (5, b + " more"), (6, a + " more"), (7, b), (2, "z " * 9), (2, a)]
+    got = sorted(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect())
+    assert [(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id > 2] == [(5, 1, False), (6, 1, False), (7, 1, False)]
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id < 3} == {(1, 56, 1), (2, 1, 2), (2, 56, 1)}
+
+
+def test_bands():
+    for percent in (80, 85, 95):
+        n = bands_for(percent, 1e-6)
+        assert (1 - (percent / 100) ** 5) ** n <= 1e-6 < (1 - (percent / 100) ** 5) ** (n - 1)
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0

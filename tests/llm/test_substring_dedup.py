@@ -54,8 +54,8 @@ def test_passes_may_slice_differently(spark, monkeypatch):
         run = first(size)
         return lambda batches: run(pa.Table.from_batches(list(batches)).combine_chunks().to_batches())
 
-    def single(size):
-        run = second(size)
+    def single(size, hot):
+        run = second(size, hot)
         return lambda batches: run(b.slice(i, 1) for b in batches for i in range(b.num_rows))
 
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
@@ -71,5 +71,17 @@ def test_passes_may_slice_differently(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", old)
 
 
+def test_hot_minimisers_are_split(spark):
+    rng = random.Random(2)
+    phrase = "one two three four five six"
+    rows = [(d, " ".join([*(f"a{rng.randint(0, 3)}" for _ in range(12)), phrase, *(f"b{rng.randint(0, 2)}" for _ in range(18))])) for d in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8).selectExpr("doc_id", "hash(text) as tag", "text")
+    for most in (1 << 17, 2):
+        got = {}
+        for r in S.repeated_ranges(df, 20, hot_runs=3, most_hot=most).collect():
+            got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
+        assert {(d, n) for d, _, n, _ in brute(rows, 20) if n} == {(d, len(x)) for d, x in got.items()}
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, TEXT int")).count() == 0
