@@ -60,7 +60,7 @@ def test_stages_and_run(spark, corpus, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     unsure = {r[0] for r in brute_language([r[:4] for r in docs], pages) if r[-1]}
-    kept = list({r[0]: r for r in docs if r[0] not in unsure}.values())
+    kept = list({r[:2]: r for r in docs if r[0] not in unsure}.values())
     near = {r[0] for r in brute_near([r[:2] for r in kept], 80) if r[3]}
     want = dict(strip([r[:2] for r in kept if r[0] in near]))
     assert {r.doc_id for r in got} == set(want) and len(got) == len(want)
@@ -72,7 +72,7 @@ def test_stages_and_run(spark, corpus, tmp_path):
 def test_stages_keep_columns_and_empty_tables(spark, corpus, tmp_path):
     docs, pages = corpus
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    for df in (spark.createDataFrame([], COLUMNS), spark.createDataFrame(docs[:20], COLUMNS).selectExpr("*", "1 as extra")):
+    for df in (spark.createDataFrame([], COLUMNS), spark.createDataFrame(docs[:20], COLUMNS).selectExpr("1 as TEXT", "*", "1 as id", "2 as tag", "4 as _id", "5 as spans", "6 as _key", "7 as n_left", "8 as mix_pos", "9 as _block")):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, df, str(tmp_path))
             assert out.schema.names == df.schema.names, name
@@ -91,3 +91,13 @@ def test_run_follows_the_schedule(spark, corpus, tmp_path):
     rows = [(d, source[d]) for d in got]
     weights = {s: n**0.5 for s, n in Counter(s for _, s in rows).items()}
     assert got == {r[0]: r[7] for r in brute_mix(rows, weights, 16, 1000)[0]}
+
+
+def test_texts_that_share_a_doc_id_stay(spark, corpus, tmp_path):
+    docs, _ = corpus
+    a, b, long = docs[0][1], docs[1][1], "long words here " * 30000
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, b + " x", "en", "s", 1), (3, long, "en", "s", 1), (None, a, "en", "s", 1)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    got = corpus_pipeline.near_duplicate(spark, df, str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (1, b), (3, long), (None, a)], key=str)
+    assert corpus_pipeline.mixture(spark, df, str(tmp_path)).count() == len(rows)
