@@ -8,7 +8,7 @@ shares of words outside it.
     the list belongs to the class of its last two bytes, and has there an add-half share by its count (one
     more share is for all unseen words of the class).  So every text has a probability.
 *   Network: embedding, one gated recurrent layer, and a class-factored softmax: P(class) times P(token | class), classes
-    being runs of the vocabulary by frequency.  Output biases start at the token frequencies.
+    being runs of the vocabulary by frequency, of equal shares of its root.  Output biases start at the token frequencies.
 *   Training: truncated backpropagation over windows of ``window`` tokens on parallel lanes; a lane carries its state from
     window to window until its document ends (a longer document is dealt to lanes in stretches of ``stretch`` tokens, so that no
     lane runs on alone).  In each of ``rounds`` rounds every partition trains from the
@@ -51,19 +51,39 @@ def buckets_of(words: K.Words) -> np.ndarray:
     return (last * 31 + before * 7) % BUCKETS
 
 
+def softmax_parts(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The picked logits, the exponentials (in place) and their sums by row; rows are shifted only where a value could leave the range."""
+    if logits.size and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    mine = logits[np.arange(len(pick)), pick]
+    np.exp(logits, out=logits)
+    return mine, logits, logits @ np.ones(logits.shape[1], logits.dtype)
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    """Rows with a one behind, which meets the bias."""
+    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    out[:, :-1] = x
+    return out
+
+
 class Network:
-    """The weights and their gradients; ``classes`` times ``width`` is the size of the output."""
+    """The weights and their gradients.  ``frequencies`` fall; tokens ``bounds[k]:bounds[k + 1]`` are class k."""
 
     def __init__(self, frequencies: np.ndarray, hidden: int, classes: int, seed: int):
-        self.hidden, self.classes, self.width = hidden, classes, -(-len(frequencies) // classes)
+        size, heaped = len(frequencies), np.cumsum(np.sqrt(frequencies))
+        # equal shares of the root of frequency: common words stand in narrow classes, which makes the mean width least
+        inner_bounds = np.searchsorted(heaped, heaped[-1] * np.arange(1, classes) / classes, "right")
+        self.bounds = np.unique(np.concatenate([[0], inner_bounds, [size]]))
+        self.hidden, self.classes = hidden, len(self.bounds) - 1
+        self.group = np.repeat(np.arange(self.classes, dtype=np.int16), np.diff(self.bounds))
         rng = np.random.default_rng(seed)
-        size = classes * self.width
         draw = lambda *shape: (rng.normal(size=shape) / math.sqrt(hidden)).astype(F32)
-        full = np.append(frequencies, np.full(size - len(frequencies), 1e-9)).reshape(classes, self.width)
+        mass = np.add.reduceat(frequencies, self.bounds[:-1])
         self.p = {
             "emb": draw(size, hidden), "wx": draw(hidden, 3 * hidden), "wh": draw(hidden, 3 * hidden), "b": np.zeros(3 * hidden, F32),
-            "wc": np.zeros((hidden, classes), F32), "bc": np.log(full.sum(axis=1)).astype(F32),
-            "ww": np.zeros((classes, hidden, self.width), F32), "bw": np.log(full / full.sum(axis=1, keepdims=True)).astype(F32),
+            "wc": np.zeros((self.classes, hidden), F32), "bc": np.log(mass).astype(F32),
+            "ww": np.zeros((size, hidden), F32), "bw": np.log(frequencies / mass[self.group]).astype(F32),
         }
 
     def run(self, h, prev, reset, keep: bool):
@@ -102,64 +122,79 @@ class Network:
         self.table = self.p["emb"] @ self.p["wx"] + self.p["b"]
         return self
 
+    def outputs(self):
+        """Weights of the classes and of the tokens of each class, biases as the last column."""
+        p = self.p
+        return np.column_stack([p["wc"], p["bc"]]), np.column_stack([p["ww"], p["bw"]])
+
+    def by_class(self, tokens):
+        """An order of tokens by class, and in it their classes, places inside, and the offsets of each class."""
+        group = self.group[tokens]
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        return order, group, tokens[order] - self.bounds[group], np.searchsorted(group, np.arange(self.classes + 1))
+
+    def inner(self, x, ww, place, cuts):
+        """Of rows in class order, the softmax over the tokens of the row's class, all classes in one buffer.
+
+        Returns (rows from, to, tokens from, to, exponentials) of each class met, the buffer, where in it each row's
+        token is, that token's logit, and the sums.
+        """
+        width, count = np.diff(self.bounds), np.diff(cuts)
+        ends = np.cumsum(count * width)
+        flat, sums = np.empty(int(ends[-1]), x.dtype), np.empty(len(x), x.dtype)
+        parts, limits, tokens, rows = [], ends.tolist(), self.bounds.tolist(), cuts.tolist()
+        for k in np.flatnonzero(count).tolist():
+            i, j, lo, hi = rows[k], rows[k + 1], tokens[k], tokens[k + 1]
+            e = flat[limits[k] - (j - i) * (hi - lo) : limits[k]].reshape(j - i, hi - lo)
+            np.matmul(x[i:j], ww[lo:hi].T, out=e)
+            parts.append((i, j, lo, hi, e))
+        at = np.repeat(ends - count * width, count) + (np.arange(len(x)) - np.repeat(cuts[:-1], count)) * np.repeat(width, count) + place
+        if len(flat) and max(flat.max(), -flat.min()) > 60:
+            for *_, e in parts:
+                e -= e.max(axis=1, keepdims=True)
+        mine = flat[at]
+        np.exp(flat, out=flat)
+        ones = np.ones(int(width.max()), x.dtype)
+        for i, j, lo, hi, e in parts:
+            np.matmul(e, ones[: hi - lo], out=sums[i:j])
+        return parts, flat, at, mine, sums
+
     def log_prob(self, states, tokens):
         """Natural log probabilities of tokens after states, both flat."""
-        p, w = self.p, self.width
-        group, inner = tokens // w, tokens % w
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(self.classes + 1))
-        states, inner, out = states[order], inner[order], np.empty(len(tokens), states.dtype)
-
-        def log_of(logits, pick):
-            logits -= logits.max(axis=1, keepdims=True)
-            mine = logits[np.arange(len(pick)), pick]
-            np.exp(logits, out=logits)
-            return mine - np.log(logits.sum(axis=1))
-
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[k], cuts[k + 1]
-            out[a:b] = log_of(states[a:b] @ p["ww"][k] + p["bw"][k], inner[a:b])
-        out += log_of(states @ p["wc"] + p["bc"], group[order])
-        back = np.empty_like(out)
-        back[order] = out
+        (wc, ww), (order, group, place, cuts) = self.outputs(), self.by_class(tokens)
+        states, back = with_one(states[order]), np.empty(len(tokens), states.dtype)
+        *_, mine, sums = self.inner(states, ww, place, cuts)
+        kind, _, whole = softmax_parts(states @ wc.T, group)
+        back[order] = mine + kind - np.log(sums) - np.log(whole)
         return back
 
     def step(self, h, prev, reset, tokens, mask, rate, squares):
         """One window of truncated backpropagation with Adagrad; returns the state and the loss."""
-        p, n, w = self.p, self.hidden, self.width
+        p, n = self.p, self.hidden
         last, states, cache = self.run(h, prev, reset, True)
         rows = np.flatnonzero(mask.ravel())
         if not len(rows):
             return last, 0.0
-        tok = tokens.ravel()[rows].astype(np.int64)
-        group = tok // w
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        rows, group, inner, scale = rows[order], group[order], (tok % w)[order], F32(1 / len(rows))
-        cuts = np.searchsorted(group, np.arange(self.classes + 1))
-        flat = states.reshape(-1, n)[rows]
-        grads = {"ww": np.zeros_like(p["ww"]), "bw": np.zeros_like(p["bw"])}
-        picked = np.empty(len(rows), flat.dtype)
-
-        def error(logits, pick, into):
-            """Scaled softmax less the one that came, in place; its probability goes ``into``."""
-            logits -= logits.max(axis=1, keepdims=True)
-            np.exp(logits, out=logits)
-            logits *= (scale / logits.sum(axis=1))[:, None]
-            at = np.arange(len(pick))
-            into[:] = logits[at, pick]
-            logits[at, pick] -= scale
-            return logits
-
-        e = error(flat @ p["wc"] + p["bc"], group, picked)
-        loss = -np.log(picked / scale + F32(1e-30)).sum()
-        grads["wc"], grads["bc"] = flat.T @ e, e.sum(axis=0)
-        back = e @ p["wc"].T
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[k], cuts[k + 1]
-            e = error(flat[a:b] @ p["ww"][k] + p["bw"][k], inner[a:b], picked[a:b])
-            grads["ww"][k], grads["bw"][k] = flat[a:b].T @ e, e.sum(axis=0)
-            back[a:b] += e @ p["ww"][k].T
-        loss -= np.log(picked / scale + F32(1e-30)).sum()
+        order, group, place, cuts = self.by_class(tokens.ravel()[rows].astype(np.int64))
+        rows, scale = rows[order], F32(1 / len(rows))
+        flat, (wc, ww) = with_one(states.reshape(-1, n)[rows]), self.outputs()
+        # rows are scaled on their narrow side, not in the exponentials
+        mine, e, sums = softmax_parts(flat @ wc.T, group)
+        e[np.arange(len(rows)), group] -= sums
+        share = (scale / sums)[:, None]
+        g, back, log = e.T @ (flat * share), (e @ p["wc"]) * share, float((mine - np.log(sums)).sum())
+        grads = {"wc": g[:, :-1], "bc": g[:, -1]}
+        parts, e, at, mine, sums = self.inner(flat, ww, place, cuts)
+        e[at] -= sums
+        share = (scale / sums)[:, None]
+        scaled, g, more = flat * share, np.zeros_like(ww), np.empty_like(back)
+        for i, j, lo, hi, e in parts:
+            np.matmul(e.T, scaled[i:j], out=g[lo:hi])
+            np.matmul(e, p["ww"][lo:hi], out=more[i:j])
+        grads |= {"ww": g[:, :-1], "bw": g[:, -1]}
+        back += more * share
+        log += float((mine - np.log(sums)).sum())
         d_states = np.zeros((mask.size, n), flat.dtype)
         d_states[rows] = back
         d_states = d_states.reshape(states.shape)
@@ -202,7 +237,7 @@ class Network:
         row = ids[order][head]
         squares["emb"][row] += g * g
         p["emb"][row] -= rate * g / (np.sqrt(squares["emb"][row]) + F32(1e-4))
-        return last, loss
+        return last, -log
 
 
 def lanes_of(length: np.ndarray, count: int) -> list[list[int]]:
