@@ -97,25 +97,28 @@ class Network:
             gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * n)
             cache = {"x": x, "h": np.empty((steps, lanes, n), kind), "zr": np.empty((steps, lanes, 2 * n), kind), "c": np.empty((steps, lanes, n), kind), "gc": np.empty((steps, lanes, n), kind)}
         half, one = F32(0.5), F32(1)
+        gh, gx, zr, c = (np.empty((lanes, k * n), kind) for k in (3, 3, 2, 1))
         for t in range(steps):
-            gx = gates[t] if keep else self.table[prev[t]]
+            if keep:
+                gx, zr, c = gates[t], cache["zr"][t], cache["c"][t]
+            else:
+                np.take(self.table, prev[t], axis=0, out=gx, mode="clip")
             if reset[t].any():
                 h = h * (one - reset[t])[:, None]
-            gh = h @ p["wh"]
-            zr = gx[:, : 2 * n] + gh[:, : 2 * n]
+            np.matmul(h, p["wh"], out=gh)
+            np.add(gx[:, : 2 * n], gh[:, : 2 * n], out=zr)
             zr *= half
             np.tanh(zr, out=zr)
             zr *= half
             zr += half
-            c = zr[:, n:] * gh[:, 2 * n :]
+            np.multiply(zr[:, n:], gh[:, 2 * n :], out=c)
             c += gx[:, 2 * n :]
             np.tanh(c, out=c)
             if keep:
-                cache["h"][t], cache["zr"][t], cache["c"][t], cache["gc"][t] = h, zr, c, gh[:, 2 * n :]
-            h = h - c
+                cache["h"][t], cache["gc"][t] = h, gh[:, 2 * n :]
+            h = np.subtract(h, c, out=states[t])
             h *= zr[:, :n]
             h += c
-            states[t] = h
         return h, states, cache
 
     def freeze(self):

@@ -13,17 +13,30 @@ from . import kernels as K
 
 
 class Lookup:
-    """Sorted 64-bit keys with values."""
+    """Sorted 64-bit hashes with values; a table of their leading bits says where to look."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = np.ascontiguousarray(keys).view(np.uint64)
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max(initial=0))
+        self.padded = np.append(self.keys, np.uint64(2**64 - 1))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are there, and their values (else 0)."""
         if not len(self.keys):
             return np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        keys = np.ascontiguousarray(keys).view(np.uint64)
+        if self.most > 16:  # keys that are no hashes
+            at = np.searchsorted(self.keys, keys)
+        else:
+            at = self.first[(keys >> self.shift).astype(np.int64)]
+            for _ in range(self.most):
+                at += self.padded[at] < keys
+        at = np.minimum(at, len(self.keys) - 1)
         hit = self.keys[at] == keys
         return hit, np.where(hit, self.values[at], 0)
 
