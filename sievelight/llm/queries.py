@@ -10,6 +10,7 @@ from .language_id import identify
 from .lm_scoring import score_documents
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .packing import digests, pack
 from .quality_classifier import classify
 from .quality_rules import judge
 from .sentencepiece_sampling import encode_documents
@@ -64,10 +65,17 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
+def op12_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pack(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op5_gru_scores, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup)
-}
+    for f in (
+        op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op5_gru_scores, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup,
+        op12_bin_slack_packing,
+    )
+}
 URL_SQL = r"""
 WITH listed_pages AS (SELECT p.url FROM pages p WHERE p.page_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 every AS (SELECT page_id, url, 0 AS bad FROM pages UNION ALL SELECT NULL, url, 1 FROM listed_pages),
