@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .hard_negatives import mine
 from .language_id import identify
 from .lm_scoring import score_documents
 from .mixing import mix
@@ -16,6 +17,7 @@ from .quality_rules import judge
 from .sentencepiece_sampling import encode_documents
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,15 +67,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), size=20)
 
 
+def op11_kronecker_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings"), moved)
+
+
 def op12_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(table(spark, sf_dir, "documents")))
 
 
+def op13_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney_quality, op2_url_filter, op3_minhash_near_dedup, op4_line_quality, op5_gru_scores, op6_pfair_mixing, op7_language_id, op8_sentencepiece, op9_hilbert_neighbours, op10_substring_dedup,
-        op12_bin_slack_packing,
+        op11_kronecker_hard_negatives, op12_bin_slack_packing, op13_jacobi_davidson_whitening,
     )
 }
 URL_SQL = r"""
@@ -101,6 +112,22 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN bad ON ruled.canonical = bad.canonical
 """
 
+NEGATIVE_SQL = r"""
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS id, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 MIX_SQL = r"""
 WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, pow(count(*), 0.5) AS weight FROM documents GROUP BY source),
 share AS (SELECT source, weight / sum(weight) OVER () * (1000 - count(*) OVER ()) AS share FROM sizes),
@@ -163,4 +190,4 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
 FROM all_of
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op4_line_quality": LINE_SQL, "op6_pfair_mixing": MIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op4_line_quality": LINE_SQL, "op6_pfair_mixing": MIX_SQL, "op11_kronecker_hard_negatives": NEGATIVE_SQL}
