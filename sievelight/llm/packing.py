@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 from bisect import bisect_right, insort
 from collections import defaultdict
 
@@ -38,31 +39,44 @@ SECOND = 1 << 62  # sequences made of rests
 class Words(dict):
     """Token ids of a word (as bytes of unsigned 32-bit numbers), by the tokenizer where it is new.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins what it separates, so a text's ids are those of its words.  Nor does it join signs with
+    letters before them, and words of Latin letters alone need none of its preparation but lower case and the letters' bytes.
     """
 
     MOST, LONGEST = 1 << 20, 64
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+    LETTERS = "".join(c for c in map(chr, range(0x180)) if c.isalpha() and c.lower().isalpha())
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(model)
+        self.merges = self.tokenizer.model
+        self.raw = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
+        by_byte = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.table = {ord(c): by_byte.pre_tokenize_str(c.lower())[0][0] for c in self.LETTERS}
+        self.plain = re.compile(f"[{self.LETTERS}]+")
 
     def __missing__(self, word: str) -> bytes:
-        # in lower case and apart from stops behind a letter, an ASCII word has the same ids
-        core = word.rstrip(".,;:!?")
-        plain = core.lower() if core.isascii() and core[-1:].isalpha() else word
-        if plain != word:
-            tail = word[len(core) :]
-            ids = self[plain] + (self[tail] if tail else b"")
+        if word.isalpha() and (word.isascii() or self.plain.fullmatch(word)):
+            lower = word.lower()
+            if lower != word:
+                found = self[lower]
+            else:
+                found = b"".join([self.raw[t.id] for t in self.merges.tokenize(word if word.isascii() else word.translate(self.table))])
         else:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+            core = word.rstrip(self.SIGNS)
+            if core != word and core[-1:].isalpha() and "<|" not in word:
+                found = self[core] + self[word[len(core) :]]
+            else:
+                found = b"".join([self.raw[i] for i in self.tokenizer.encode(word, add_special_tokens=False).ids])
         if len(word) <= self.LONGEST:
             if len(self) >= self.MOST:
                 self.clear()
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
     def ids(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""

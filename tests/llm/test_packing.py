@@ -48,6 +48,7 @@ def test_words_are_the_tokenizer_s():
     rng = random.Random(3)
     known, tokenizer = Words(MODEL), Tokenizer.from_file(MODEL)
     odd = ["", " ", "\n\n a", "Don't.", "we'LL,", "x.Y.", "é ́a", "A B　c", "ﬁ", "中文 字", "😀.", "\x00\x1c d", "<|startoftext|>.", "'s", "a's.", "1.", "Ａ.", "'.", "'s'.", "a'.", "b':", "x" * 200 + "."]
+    odd += [f"{a}{b}{c}" for a in ("Mot", "ÉTÉ", "ŉaß", "İa", "ǅa", "e\u0301te", "Σας", "ſ", "ªº", "a1", "<|endoftext|>", "x<|endoftext", "'s") for b in ("", "$$$", "<|endoftext|>", "'", "|>", "_", "'re", "\u0301.") for c in ("", ".", "z")]
     for text in [*odd, *(words(rng, 40) for _ in range(40)), *("".join(map(chr, (rng.randrange(1, 0x2FFF) for _ in range(60)))) for _ in range(200))]:
         got = known.ids(text)
         assert [int.from_bytes(got[k : k + 4], "little") for k in range(0, len(got), 4)] == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
