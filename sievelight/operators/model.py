@@ -19,9 +19,6 @@ RAW = "struct<idx: int, match: string, severity: int, message: string, detail: s
 RAWS = f"array<{RAW}>"
 
 
-NEAR = 300  # characters kept on either side of a match
-
-
 @dataclass(frozen=True)
 class Document:
     """The columns of a prepared document that a rule's own scan reads."""
@@ -39,7 +36,7 @@ class Match:
 
     at: Column
     text: Column
-    near: Column  # up to NEAR characters on either side of the offset, in UTF-16 units; null unless the pattern looks at it
+    near: Column  # the pattern's ``near`` characters on either side of the offset, in UTF-16 units; null if it looks at none
     lead: Column  # how many of them stand before the offset
     after: Column  # the same around the end of the match
     lead_after: Column
@@ -67,7 +64,7 @@ class Pattern:
 
     ``gate`` is the search that decides whether a text is matched at all (default: the pattern); before it come ``needles`` (see
     :func:`..functions.regex.needles`) and, with ``foreign``, that the text has characters beyond ASCII.  ``confirm`` is a second-stage check
-    of a match, ``near`` tells that it looks around; ``report`` turns a match into a raw finding or null (default: the match itself with
+    of a match, ``near`` tells how far it looks around; ``report`` turns a match into a raw finding or null (default: the match itself with
     ``severity``).  Patterns that share a function share its branch of the plan; ``label`` tells them apart.
     """
 
@@ -80,7 +77,7 @@ class Pattern:
     foreign: bool = False
     confirm: Callable[[Match], Column] | None = None
     report: Callable[[Match], Column] | None = None
-    near: bool = False
+    near: int = 0
     label: str | None = None
 
 

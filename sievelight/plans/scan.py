@@ -12,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.regex import WIDE, around, holds, literal, matches, pieces
+from ..functions.regex import WIDE
 from ..functions.shared import written
-from ..functions.text import fingerprint, line_window, narrow, take, truncate, utf16_length, visualize, wide, wide_at
+from ..functions.text import fingerprint, line_window, narrow, take, truncate, visualize
 from ..operators.detectors import RULES, agent_file
-from ..operators.model import NEAR, RAWS, Document, Match, Pattern, Rule, bump, raw, severity_name, severity_rank
+from ..operators.matching import HITS, PLACE, hits, located
+from ..operators.model import RAWS, Document, Match, Pattern, Rule, bump, raw, severity_name, severity_rank
 from ..operators.prose import prepare
 
 # Limits of the report and of correlation.
@@ -88,75 +89,68 @@ def _called(rules: list[Rule]):
     return F.pandas_udf(run, "rule_ord array<int>, idx array<int>, match array<string>, severity array<int>, message array<string>, failed array<string>")
 
 
+def _failure(rule_id: Column, why: Column) -> Column:
+    return F.concat(F.lit("rule "), rule_id, F.lit(" failed on this file, which it did not check: "), why)
+
+
 def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """One row per document with a finding or an error: ``path, text, agent_file, raw`` (each rule's first 50, in order),
     ``over`` (rules with more, and how many) and ``failed`` (messages).
 
-    Every pattern is first a plain search; only texts that some pattern hits go on.  Their hits go through one match expression, one
-    confirmation, one report for each kind of pattern, and one sweep, so the plan grows with the kinds, not with the patterns.
+    One pass over a text finds the hits of all patterns (:mod:`..operators.matching`); only texts with some go on.  Their hits go through one
+    confirmation and one report for each kind of pattern, and one sweep, so the plan grows with the kinds, not with the patterns.
     """
     rules = RULES if rules is None else rules
     doc = Document(F.col("path"), F.col("rule_text"), F.col("spans"), F.col("whole"), F.col("agent_file"))
     listed = [(i, p) for i, r in enumerate(rules) for p in r.patterns]
     patterns = [p for _, p in listed]
-    docs = _once(prepare(files.where("text is not null and path is not null")), "lower", F.lower("rule_text"))
-    docs = docs.withColumn("foreign", F.octet_length("lower") > F.length("lower"))
-
-    # as SQL text, since a plan of so many small expressions takes long to build one by one
-    searched = lambda p: f"{'foreign and ' * p.foreign}{holds('lower', p.needles)} and rlike(rule_text, {literal(p.gate or p.java)})"
-    found = F.expr(f"filter(array({', '.join(f'case when {searched(p)} then {k} end' for k, p in enumerate(patterns))}), k -> k is not null)") if listed else F.array().cast("array<int>")
-    docs = _once(docs, "hit", found).select("path", "text", "rule_text", "spans", "whole", "agent_file", "hit")
+    docs = prepare(files.where("text is not null and path is not null"))
+    none = F.array().cast("array<string>")
+    if listed:
+        specs = tuple((p.java, p.gate, p.needles, p.foreign, p.first_only, p.near) for p in patterns)
+        docs = docs.withColumn("m", hits(specs, doc.text, F.col("spans.start"), F.col("spans.end"), doc.whole))
+    else:
+        docs = docs.withColumn("m", F.lit(None).cast(HITS))
+    docs = docs.select("path", "text", "rule_text", "spans", "whole", "agent_file", "m")
     own = [(i, r) for i, r in enumerate(rules) if r.scan]
     if any(r.call for r in rules):
         docs = docs.withColumn("called", _called(rules)(doc.path, doc.text))
-    elif not own:
-        docs = docs.where(F.size("hit") > 0)
-    elif all(r.scan is agent_file for _, r in own):
-        docs = docs.where((F.size("hit") > 0) | doc.agent_file)
-
-    def all_of(k):
-        hits = matches(doc.text, _of([p.java for p in patterns], k))
-        hits = F.when(_of([p.first_only for p in patterns], k), F.slice(hits, 1, 1)).otherwise(hits)
-        return F.transform(hits, lambda m: F.struct(k.alias("k"), m["idx"].alias("idx"), m["units"].alias("units"), m["match"].alias("match")))
+    elif not own or all(r.scan is agent_file for _, r in own):
+        docs = docs.where((F.size("m.hits") > 0) | (F.size("m.failed") > 0) | (doc.agent_file if own else F.lit(False)))
+    rule_of = lambda k: _of([i for i, _ in listed], k)
 
     sources = []
     if listed:
-        looking = [k for k, p in enumerate(patterns) if p.near]
-        hits = F.when(F.size("hit") > 0, F.flatten(F.transform("hit", all_of))).otherwise(F.array().cast("array<struct<k: int, idx: int, units: int, match: string>>"))
-        parts = F.when(F.arrays_overlap("hit", F.array(*[F.lit(k) for k in looking])), pieces(wide(doc.text))) if looking else F.lit(None).cast("array<string>")
-        docs = _once(_once(docs, "hits", hits), "parts", parts)
-        in_prose = lambda at: doc.whole | F.exists(doc.spans, lambda s: (at >= s["start"]) & (at < s["end"]))
-
-        def placed(h):
-            at = h["idx"]
-            looks = h["k"].isin(looking) if looking else F.lit(False)
-            ends = F.transform(F.array(h["units"], h["units"] + utf16_length(h["match"])), lambda x: F.when(looks, x))
-            return F.struct(h["k"].alias("k"), at.alias("idx"), h["match"].alias("match"), in_prose(at).alias("prose"), F.transform(ends, lambda x: F.struct(F.least(x, F.lit(NEAR)).alias("lead"), around(F.col("parts"), x, NEAR).alias("text"))).alias("near"))
-
         def as_match(h):
-            k, near, after = h["k"], h["near"][0], h["near"][1]
-            return Match(h["idx"], h["match"], near["text"], near["lead"], after["text"], after["lead"], h["prose"], doc.whole, _of([p.java for p in patterns], k), _of([p.label for p in patterns], k))
+            k = h["k"]
+            return Match(h["idx"], h["match"], h["near"], h["lead"], h["after"], h["lead_after"], h["prose"], doc.whole, _of([p.java for p in patterns], k), _of([p.label for p in patterns], k))
 
         def confirmed(h):
             return (_of([p.anywhere for p in patterns], h["k"]) | h["prose"]) & _by_function(patterns, "confirm", h["k"], as_match(h), F.lit(True))
 
         def reported(h):
             plain = raw(h["idx"], h["match"], _of([p.severity for p in patterns], h["k"]).cast("int"))
-            return F.struct(_of([i for i, _ in listed], h["k"]).alias("rule"), _by_function(patterns, "report", h["k"], as_match(h), plain).alias("x"))
+            return F.struct(rule_of(h["k"]).alias("rule"), _by_function(patterns, "report", h["k"], as_match(h), plain).alias("x"))
 
-        docs = _once(docs, "fine", F.filter(F.transform("hits", placed), confirmed))
+        # a rule of which a pattern failed has no findings in that file, but an error
+        broken = F.array_distinct(F.transform("m.failed", lambda f: rule_of(f["k"])))
+        docs = docs.withColumn("why", F.when(F.size("m.failed") > 0, F.transform(broken, lambda i: _failure(_of([r.id for r in rules], i), F.filter("m.failed", lambda f: rule_of(f["k"]) == i)[0]["why"]))).otherwise(none))
+        whole_rules = F.when(F.size("m.failed") > 0, F.filter("m.hits", lambda h: ~F.array_contains(broken, rule_of(h["k"])))).otherwise(F.col("m.hits"))
+        docs = _once(docs, "fine", F.filter(whole_rules, confirmed))
         sources.append(F.transform(F.filter(F.transform("fine", reported), lambda r: r["x"].isNotNull()), lambda r: _tagged(r["rule"], r["x"])))
+    else:
+        docs = docs.withColumn("why", none)
     for i, r in own:
         sources.append(_numbered(i, r.scan(doc)))
-    none = F.array().cast("array<string>")
+    failed = F.col("why")
     if any(r.call for r in rules):
         c = F.col("called")
         rows = F.sequence(F.lit(1), F.size(c["idx"]))
         at = lambda name, j: F.element_at(c[name], j)
         made = F.transform(rows, lambda j: _tagged(at("rule_ord", j), raw(at("idx", j), at("match", j), at("severity", j), at("message", j))))
         sources.append(F.when(F.size(c["idx"]) > 0, made).otherwise(F.array().cast(TAGGED)))
-        none = c["failed"]
-    docs = _once(docs.withColumn("failed", none), "found", F.concat(*sources) if sources else F.array().cast(TAGGED))
+        failed = F.concat(failed, c["failed"])
+    docs = _once(docs.withColumn("failed", failed), "found", F.concat(*sources) if sources else F.array().cast(TAGGED))
     # rules in order; within a deduplicated rule by offset and length, else as produced
     swept = [r.dedupe for r in rules]
     key = lambda x, j: F.struct(x["rule_ord"].alias("rule"), F.when(_of(swept, x["rule_ord"]), x["idx"]).otherwise(0).alias("a"), F.when(_of(swept, x["rule_ord"]), -F.length(x["match"])).otherwise(0).alias("b"), j.alias("j"), x.alias("x"))
@@ -182,18 +176,22 @@ def _tagged(rule: Column, x: Column) -> Column:
     return F.struct(rule.cast("int").alias("rule_ord"), *[x[c].alias(c) for c in ("idx", "match", "severity", "message", "detail")])
 
 
-def ignored_inline(lines: Column, line: Column, rule_id: Column, marker: str = MARKER) -> Column:
-    """Whether ignore markers cover a finding of a rule on a 1-based line.
+def marker_pattern(marker: str = MARKER) -> str:
+    """An ignore marker and what it names, in the Java dialect."""
+    ws = rf"[\s{WIDE}]"
+    return rf"{marker}(-next-line)?(?:{ws}*[: ]{ws}*([A-Za-z0-9/_,\s{WIDE}-]+))?"
+
+
+def ignored_inline(own: Column, above: Column, rule_id: Column, marker: str = MARKER) -> Column:
+    """Whether ignore markers cover a finding of a rule, given the markers (if any) of its line and of the one above.
 
     A marker covers its own line, with ``-next-line`` the one below; rule ids (words with a slash) behind it narrow it.  A bare marker
     on the line itself covers everything; otherwise the lists of both markers add up.
     """
-    ws = rf"[\s{WIDE}]"
-    pattern = rf"{marker}(-next-line)?(?:{ws}*[: ]{ws}*([A-Za-z0-9/_,\s{WIDE}-]+))?"
-    own, above = F.get(lines, line - 1), F.coalesce(F.get(lines, line - 2), F.lit(""))
+    pattern = marker_pattern(marker)
     ids = lambda x: F.filter(F.split(F.regexp_extract(x, pattern, 2), rf"[,\s{WIDE}]+"), lambda i: i.contains("/"))
-    here = own.contains(marker) & (F.regexp_extract(own, pattern, 1) == "")
-    before = above.contains(marker) & (F.regexp_extract(above, pattern, 1) != "")
+    here = own.isNotNull() & (F.regexp_extract(own, pattern, 1) == "")
+    before = above.isNotNull() & (F.regexp_extract(above, pattern, 1) != "")
     mine, theirs = ids(own), ids(above)
     listed = F.when(before, F.array_contains(theirs, rule_id)).otherwise(F.lit(False))
     return F.when(here & (F.size(mine) == 0), True).when(here, F.array_contains(mine, rule_id) | listed).when(before, (F.size(theirs) == 0) | listed).otherwise(False)
@@ -204,21 +202,18 @@ def enrich(found: DataFrame, rules: list[Rule] | None = None, boost: bool = True
     rules = RULES if rules is None else rules
     of = lambda attribute, k: _of([getattr(r, attribute) for r in rules], k)
     kinds = F.size(F.array_distinct(F.transform("raw", lambda x: of("family", x["rule_ord"]))))
-    lines = F.when(F.col("text").contains(marker), F.split("text", "\n", -1))
     over = F.transform("over", lambda o: F.concat(F.lit("rule "), of("id", o["rule_ord"]), F.lit(" matched "), o["n"].cast("string"), F.lit(f" times; only the first {MOST_PER_RULE} are reported")))
-    one = F.transform("raw", lambda x: F.struct(x.alias("f"), F.lit(None).cast("string").alias("error")))
-    bad = F.transform(F.concat(over, "failed"), lambda e: F.struct(F.lit(None).cast(KEPT[6:-1]).alias("f"), e.alias("error")))
-    rows = found.select("path", "text", "agent_file", kinds.alias("kinds"), lines.alias("lines"), F.explode_outer(F.concat(one, bad)).alias("e")).where("e is not null")
-    rows = rows.select("path", "agent_file", "kinds", "lines", "text", "e.f", "e.error")
-    at, rule = F.col("f.idx"), F.col("f.rule_ord")
-    head = F.left(wide(F.col("text")), wide_at(F.col("text"), at))
-    behind = F.substring(F.col("text"), at + 1, F.lit(CONTEXT + 2))
-    rows = rows.select("path", "agent_file", "kinds", "lines", "f", "error", head.alias("head"), wide(behind).alias("behind"))
-    rows = rows.select("*", F.substring_index("head", "\n", -1).alias("left"))
+    # places are found while the text is one row; rows of findings carry windows of it only
+    found = found.withColumn("places", located(F.col("text"), F.col("raw.idx"), CONTEXT, marker_pattern(marker)))
+    one = F.zip_with("raw", "places", lambda x, p: F.struct(x.alias("f"), p.alias("p"), F.lit(None).cast("string").alias("error")))
+    bad = F.transform(F.concat(over, "failed"), lambda e: F.struct(F.lit(None).cast(KEPT[6:-1]).alias("f"), F.lit(None).cast(PLACE).alias("p"), e.alias("error")))
+    rows = found.select("path", "agent_file", kinds.alias("kinds"), F.explode_outer(F.concat(one, bad)).alias("e")).where("e is not null")
+    rows = rows.select("path", "agent_file", "kinds", "e.f", "e.p", "e.error")
+    rule = F.col("f.rule_ord")
     rows = rows.select(
-        F.col("path").alias("file"), "agent_file", "kinds", "lines", "error", of("id", rule).alias("rule_id"), of("title", rule).alias("rule_title"), of("family", rule).alias("family"),
-        F.coalesce("f.severity", of("severity", rule)).alias("base"), (F.regexp_count("head", F.lit("\n")) + 1).alias("line"), (F.length("left") + 1).alias("column"),
-        visualize(take(F.col("f.match"), SNIPPET)).alias("shown"), narrow(line_window(F.col("left"), F.col("behind"), CONTEXT)).alias("window"), F.coalesce("f.message", of("message", rule)).alias("message"),
+        F.col("path").alias("file"), "agent_file", "kinds", "error", of("id", rule).alias("rule_id"), of("title", rule).alias("rule_title"), of("family", rule).alias("family"),
+        F.coalesce("f.severity", of("severity", rule)).alias("base"), "p.line", "p.column", "p.own", "p.above",
+        visualize(take(F.col("f.match"), SNIPPET)).alias("shown"), narrow(line_window(F.col("p.left"), F.col("p.behind"), CONTEXT)).alias("window"), F.coalesce("f.message", of("message", rule)).alias("message"),
         "f.detail", "f.rule_ord", "f.match_ord", fingerprint(of("id", rule), F.col("path"), F.col("f.match")).alias("fingerprint"),
     )
     raises = (F.col("family") != "agent-config") if boost else F.lit(False)
@@ -230,7 +225,7 @@ def enrich(found: DataFrame, rules: list[Rule] | None = None, boost: bool = True
     return rows.select(
         "rule_id", "rule_title", "family", severity_name(F.col("rank")).alias("severity"), severity_name(F.col("base")).alias("base_severity"), "file", "line", "column",
         truncate(F.col("shown"), SNIPPET).alias("snippet"), truncate(F.col("window"), CONTEXT).alias("context"), "message", "fingerprint", F.nullif("why", F.lit("")).alias("boosted_by"), "detail", *ORDER,
-        "rank", F.when(F.col("lines").isNotNull() & F.col("error").isNull(), ignored_inline(F.col("lines"), F.col("line"), F.col("rule_id"), marker)).otherwise(F.lit(False)).alias("ignored"), "error",
+        "rank", F.when(F.col("own").isNotNull() | F.col("above").isNotNull(), ignored_inline(F.col("own"), F.col("above"), F.col("rule_id"), marker)).otherwise(F.lit(False)).alias("ignored"), "error",
     )
 
 
