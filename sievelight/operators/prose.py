@@ -45,7 +45,10 @@ EXTENSIONS = {
     "lisp": ".clj .cljs", "powershell": ".ps1 .psm1", "batch": ".bat .cmd",
 }
 BASENAMES = {"c": "Jenkinsfile", "hash": "Dockerfile Makefile Rakefile Gemfile Procfile Brewfile Vagrantfile CODEOWNERS .gitignore .gitattributes .npmrc .nvmrc"}
-AGENT_FILES = "claude.md agents.md agent.md .cursorrules .windsurfrules .clinerules .roorules .aiderrules copilot-instructions.md gemini.md qwen.md .github/copilot-instructions.md .mcp.json .aider.conf.yml codex.md".split()
+AGENT_FILES = [
+    "claude.md", "agents.md", "agent.md", ".cursorrules", ".windsurfrules", ".clinerules", ".roorules", ".aiderrules", "copilot-instructions.md",
+    "gemini.md", "qwen.md", ".github/copilot-instructions.md", ".mcp.json", ".aider.conf.yml", "codex.md",
+]
 AGENT_FOLDERS = r"(^|/)\.(claude|cursor|codex|windsurf|continue|cline|aider)/|(^|/)\.github/(copilot|chatmodes|prompts|instructions)"
 BLANK = r"[ \t\x0b\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 GAP = re.compile(rf"{BLANK}*+\n?+{BLANK}*+(?://|#++|--|;++|%|\*|REM|::)?+{BLANK}*+")

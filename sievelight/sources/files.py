@@ -16,14 +16,27 @@ from pyspark.sql import functions as F
 from ..functions.globs import GlobSet
 
 # Default excludes, text extensions and names, binary thresholds, sizes.
-DEFAULT_EXCLUDES = ".git/ .hg/ .svn/ node_modules/ bower_components/ vendor/ dist/ build/ out/ target/ .next/ .nuxt/ .svelte-kit/ .turbo/ .parcel-cache/ .cache/ __pycache__/ .venv/ venv/ .tox/ .mypy_cache/ .pytest_cache/ .gradle/ .idea/ Pods/ coverage/ .nyc_output/ *.min.js *.min.css *.map *.lock package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock composer.lock go.sum".split()
-TEXT_EXTENSIONS = set(
-    ".md .mdx .markdown .rst .txt .adoc .asciidoc .org .json .jsonc .json5 .yaml .yml .toml .ini .cfg .conf .properties .env .editorconfig .xml .plist .js .jsx .mjs .cjs .ts .tsx .mts .cts .vue .svelte .astro "
-    ".py .pyi .rb .go .rs .java .kt .kts .scala .c .h .cc .cpp .hpp .cxx .hh .m .mm .cs .fs .swift .php .pl .pm .lua .r .jl .dart .ex .exs .erl .hrl .clj .cljs .hs .elm .zig .nim .v .sol "
-    ".sh .bash .zsh .fish .ps1 .psm1 .bat .cmd .mk .cmake .gradle .sbt .bzl .html .htm .css .scss .sass .less .graphql .gql .sql .proto .tf .tfvars .hcl .dockerfile .ipynb".split()
-)
+DEFAULT_EXCLUDES = [
+    ".git/", ".hg/", ".svn/", "node_modules/", "bower_components/", "vendor/", "dist/", "build/", "out/", "target/", ".next/", ".nuxt/",
+    ".svelte-kit/", ".turbo/", ".parcel-cache/", ".cache/", "__pycache__/", ".venv/", "venv/", ".tox/", ".mypy_cache/", ".pytest_cache/", ".gradle/",
+    ".idea/", "Pods/", "coverage/", ".nyc_output/", "*.min.js", "*.min.css", "*.map", "*.lock", "package-lock.json", "yarn.lock", "pnpm-lock.yaml",
+    "Cargo.lock", "poetry.lock", "composer.lock", "go.sum",
+]
+TEXT_EXTENSIONS = {
+    ".md", ".mdx", ".markdown", ".rst", ".txt", ".adoc", ".asciidoc", ".org", ".json", ".jsonc", ".json5", ".yaml", ".yml", ".toml", ".ini", ".cfg",
+    ".conf", ".properties", ".env", ".editorconfig", ".xml", ".plist", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", ".vue",
+    ".svelte", ".astro", ".py", ".pyi", ".rb", ".go", ".rs", ".java", ".kt", ".kts", ".scala", ".c", ".h", ".cc", ".cpp", ".hpp", ".cxx", ".hh",
+    ".m", ".mm", ".cs", ".fs", ".swift", ".php", ".pl", ".pm", ".lua", ".r", ".jl", ".dart", ".ex", ".exs", ".erl", ".hrl", ".clj", ".cljs", ".hs",
+    ".elm", ".zig", ".nim", ".v", ".sol", ".sh", ".bash", ".zsh", ".fish", ".ps1", ".psm1", ".bat", ".cmd", ".mk", ".cmake", ".gradle", ".sbt",
+    ".bzl", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".graphql", ".gql", ".sql", ".proto", ".tf", ".tfvars", ".hcl", ".dockerfile",
+    ".ipynb",
+}
 IGNORE_FILES = (".gitignore", ".scanignore")
-TEXT_NAMES = set("Dockerfile Makefile Rakefile Gemfile Procfile Brewfile Jenkinsfile Vagrantfile CODEOWNERS LICENSE NOTICE README CHANGELOG AUTHORS CONTRIBUTING AGENTS AGENTS.md .gitignore .gitattributes .npmrc .nvmrc .babelrc .eslintrc .prettierrc .cursorrules .windsurfrules .clinerules .aiderignore .scanignore".split())
+TEXT_NAMES = {
+    "Dockerfile", "Makefile", "Rakefile", "Gemfile", "Procfile", "Brewfile", "Jenkinsfile", "Vagrantfile", "CODEOWNERS", "LICENSE", "NOTICE",
+    "README", "CHANGELOG", "AUTHORS", "CONTRIBUTING", "AGENTS", "AGENTS.md", ".gitignore", ".gitattributes", ".npmrc", ".nvmrc", ".babelrc",
+    ".eslintrc", ".prettierrc", ".cursorrules", ".windsurfrules", ".clinerules", ".aiderignore", ".scanignore",
+}
 MAX_FILE_SIZE = 2 * 1024 * 1024
 HEAD, NULL_SHARE, CONTROL_SHARE = 8192, 0.02, 0.1
 
