@@ -19,6 +19,7 @@ from ..operators.patterns import PATTERNS
 from ..operators.prose import AGENT_FILES, AGENT_FOLDERS, BASENAMES, EXTENSIONS, family_of, is_agent_file, prepare
 from ..sources.files import DEFAULT_EXCLUDES
 from ..sources.tables import quoted, seeded, seeded_sql
+from . import proof
 from .report import compact_lines, github_lines, severity_counts
 from .scan import enrich, judge, raw_findings, scan
 
@@ -159,25 +160,46 @@ SELECT doc_id, i + CASE WHEN contains(line, 'scan-ignore-next-line') THEN 1 ELSE
 FROM l WHERE contains(line, 'scan-ignore')"""
 
 
-@query
+_CHAT = "SELECT row_number() OVER (ORDER BY conv_id, turn) AS doc_id, 'chat/' || conv_id || '/' || turn || '.txt' AS path, text FROM conversations"
+_CHAT_SQL = proof.findings_sql(_CHAT, ("python",), "SELECT t.role, count(*) AS turns, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM conversations t LEFT JOIN (SELECT file, count(*) AS n FROM judged GROUP BY file) ON file = 'chat/' || conv_id || '/' || turn || '.txt' GROUP BY ALL")
+_PAGES = "SELECT page_id AS doc_id, 'pages/' || page_id || '.html' AS path, html AS text FROM pages"
+_PAGE_SQL = proof.findings_sql(_PAGES, ("markup",), "SELECT regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, count(*) AS pages, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM pages LEFT JOIN (SELECT file, count(*) AS n FROM judged GROUP BY file) ON file = 'pages/' || page_id || '.html' GROUP BY ALL")
+FAMILIES = ("python", "c", "hash", "sql")  # those of the seeded paths that have a lexer
+
+
+def proven(sql: str):
+    """Registers a query with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _proof(then: str | None = None, allow: str | None = None) -> str:
+    return proof.findings_sql(seeded_sql(), FAMILIES, *([then] if then else []), allow=allow)
+
+
+@proven(proof.spans_sql(seeded_sql(), FAMILIES))
 def prose_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of language in every file."""
     return prepare(seeded(spark, sf_dir)).select("doc_id", "family", F.explode("spans").alias("s")).select("doc_id", "family", "s.start", "s.end", "s.kind")
 
 
-@query
+@proven(_proof())
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings of all rules, in report order."""
     return scan(seeded(spark, sf_dir)).findings.drop("rank", "rule_ord", "match_ord")
 
 
-@query
+@proven(_proof(f"SELECT {proof.COLUMNS} FROM judged WHERE hidden", allow="already reviewed"))
 def suppressed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What inline markers and an allow pattern hide."""
     return scan(seeded(spark, sf_dir), allow=["already reviewed"]).suppressed.drop("rank", "rule_ord", "match_ord")
 
 
-@query
+@proven(_proof(f"SELECT {proof.COLUMNS} FROM judged WHERE NOT hidden AND fingerprint NOT IN (SELECT fingerprint FROM judged WHERE severity = 'critical')"))
 def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that a baseline of all critical ones does not hold."""
     files = seeded(spark, sf_dir)
@@ -185,34 +207,34 @@ def new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(rows, files, baseline=rows.where("severity = 'critical'").select("fingerprint")).findings.drop("rank", "rule_ord", "match_ord")
 
 
-@query
+@proven(_proof("SELECT rule_id, base_severity, severity, boosted_by, count(*) AS n FROM judged WHERE boosted_by IS NOT NULL GROUP BY ALL"))
 def boosted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings that correlation or an agent file raised, by rule and reason."""
     return enrich(raw_findings(seeded(spark, sf_dir))).where("boosted_by is not null").groupBy("rule_id", "base_severity", "severity", "boosted_by").agg(F.count("*").alias("n"))
 
 
-@query
+@proven(_proof("SELECT s.severity, count(j.rule_id) AS findings FROM (VALUES ('info'), ('low'), ('medium'), ('high'), ('critical')) s(severity) LEFT JOIN (SELECT * FROM judged WHERE NOT hidden) j USING (severity) GROUP BY ALL"))
 def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity_counts(scan(seeded(spark, sf_dir)).findings)
 
 
-@query
+@proven(_proof(f"SELECT {proof.COLUMNS} FROM judged WHERE NOT hidden AND rank >= 2 ORDER BY {proof.BEST_FIRST} LIMIT 20"))
 def top_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 most severe: a report whose feature is its limit."""
     return scan(seeded(spark, sf_dir), min_severity=SEVERITIES[2], max_findings=20).findings.drop("rank", "rule_ord", "match_ord")
 
 
-@query
+@proven(_proof(proof.GITHUB))
 def github_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return github_lines(scan(seeded(spark, sf_dir), min_severity="high").findings)
 
 
-@query
+@proven(_proof("SELECT concat_ws('  ', concat_ws(':', file, line, \"column\"), severity, rule_id, message) AS line FROM judged WHERE NOT hidden AND rank >= 3"))
 def compact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_lines(scan(seeded(spark, sf_dir), min_severity="high").findings)
 
 
-@query
+@proven(_CHAT_SQL)
 def chat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as text files, findings by role (the tables hold few, so the count of turns comes along)."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("path", F.concat_ws("/", F.lit("chat"), F.col("conv_id").cast("string"), F.concat(F.col("turn").cast("string"), F.lit(".txt"))))
@@ -220,10 +242,16 @@ def chat_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.join(found, "path", "left").groupBy("role").agg(F.count("*").alias("turns"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
-@query
+@proven(_PAGE_SQL)
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as markup files, all rules: pages and findings by declared language."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
     found = raw_findings(pages).select("path", F.size("raw").alias("n"))
     kinds = pages.select("path", F.regexp_extract("text", r'<html lang="([^"]*)"', 1).alias("lang"))
     return kinds.join(found, "path", "left").groupBy("lang").agg(F.count("*").alias("pages"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+
+
+@proven(_proof("SELECT path AS file, 'rule ' || rule || ' matched ' || n || ' times; only the first 50 are reported' AS message FROM (SELECT x.path, rule, count(*) AS n FROM numbered x JOIN sweep s USING (doc_id, rule, k) WHERE s.kept GROUP BY ALL) WHERE n > 50"))
+def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that found more in a file than is reported."""
+    return scan(seeded(spark, sf_dir)).errors
