@@ -8,8 +8,6 @@ group recurses once per round in Java, and a long enough text would overflow the
 from __future__ import annotations
 
 import re
-from re import _constants as sre
-from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -59,52 +57,66 @@ def java(pattern: str, flags: str = "") -> str:
     return ("(?i)" if "i" in flags else "") + "".join(out)
 
 
+_OPEN = re.compile(r"\((?:\?(?:[:>]|(<?[=!])))?")
+_CLASS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]", re.S)
+_ESCAPE = re.compile(r"\\(?:u\{[0-9A-Fa-f]+\}|u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|.)", re.S)
+_TIMES = re.compile(r"(?:[*?]|(\+)|\{(\d+)(?:,\d*)?\})[?+]?")
+
+
 def needles(pattern: str) -> tuple[tuple[str, ...], ...]:
     """What a text must contain, in lower case, to match: one literal of each group.  Finding literals is much cheaper than a pattern."""
 
-    def one(op, arg) -> list[frozenset]:
-        if op is sre.SUBPATTERN:
-            return of(arg[-1])
-        if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] >= 1:
-            return of(arg[2])
-        if op is sre.BRANCH:
-            groups = [of(branch) for branch in arg[1]]
-            return [frozenset().union(*(max(g, key=worth) for g in groups))] if all(groups) else []
-        return []
+    def branches(i: int) -> tuple[list[list], int]:
+        """The branches up to the closing bracket, as lists of characters, (branches) that occur, and None for all else."""
+        out: list[list] = [[]]
+        while i < len(pattern) and pattern[i] != ")":
+            c = pattern[i]
+            if c == "|":
+                out.append([])
+                i += 1
+                continue
+            if c == "(":
+                m = _OPEN.match(pattern, i)
+                inner, i = branches(m.end())
+                item = None if m[1] else tuple(inner)
+            elif c in "[\\":
+                m = (_CLASS if c == "[" else _ESCAPE).match(pattern, i)
+                item, i = None if c == "[" or m[0][1].isalnum() else m[0][1], m.end()
+            else:
+                item, i = None if c in "^$." else c, i + 1
+            times = _TIMES.match(pattern, i)
+            if times:
+                i = times.end()
+                often = times[1] or int(times[2] or 0)
+                item = (([item],) if isinstance(item, str) else item) if often else None
+            out[-1].append(item)
+        return out, i + 1
 
     def worth(group: frozenset) -> tuple[int, int]:
         return min(map(len, group)), -len(group)
 
-    def of(items) -> list[frozenset]:
+    def of(items: list) -> list[frozenset]:
         out, run = [], ""
-        for op, arg in [*items, (None, None)]:
-            if op is sre.LITERAL:
-                run += chr(arg).lower()
+        for item in [*items, None]:
+            if isinstance(item, str):
+                run += item.lower()
                 continue
             if run.strip():
                 out.append(frozenset([run]))
             run = ""
-            if op is not None:
-                out += one(op, arg)
+            if item and len(item) == 1:
+                out += of(item[0])
+            elif item:
+                groups = [of(branch) for branch in item]
+                out += [frozenset().union(*(max(g, key=worth) for g in groups))] if all(groups) else []
         return out
 
-    return tuple(tuple(sorted(g)) for g in dict.fromkeys(of(_parser.parse(pattern))))
-
-
-def literal(text: str) -> str:
-    """A text as an SQL literal of Spark."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def holds(lower: str, groups: tuple[tuple[str, ...], ...]) -> str:
-    """SQL: whether a column of lower-cased texts has a literal of each group."""
-    each = [" or ".join(f"contains({lower}, {literal(x)})" for x in group) for group in sorted(groups, key=lambda g: (len(g), -min(map(len, g))))]
-    return " and ".join(f"({x})" for x in each) or "true"
+    every = branches(0)[0]
+    return tuple(tuple(sorted(g)) for g in dict.fromkeys(of(every[0] if len(every) == 1 else [tuple(every)])))
 
 
 MATCH = "array<struct<idx: int, units: int, match: string>>"
 BLOCK = 256  # matches in a row before they are put aside
-PIECE = 1024  # characters of a text piece
 
 
 def once(value: Column, make) -> Column:
@@ -150,17 +162,3 @@ def matches(text: Column, pattern: Column | str) -> Column:
     starts = lambda bs: F.aggregate(F.transform(bs, lambda b: F.aggregate(b, zero, moved)), F.array(zero), summed)
     out = once(blocks, lambda bs: once(starts(bs), lambda at: F.flatten(F.transform(bs, lambda b, i: located(b, F.get(at, i))))))
     return F.when(F.size(found) > 0, out).otherwise(F.array().cast(MATCH))
-
-
-def pieces(text: Column) -> Column:
-    """A text in pieces of ``PIECE`` characters, so that a window far into it is found without walking there."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
-
-
-def around(parts: Column, at: Column, radius: int) -> Column:
-    """Up to ``radius`` (at most ``PIECE``) characters on either side of an offset of the text in :func:`pieces`."""
-    n = F.floor(at / PIECE).cast("int")
-    near = F.concat_ws("", F.get(parts, n - 1), F.get(parts, n), F.get(parts, n + 1))
-    inside = at - F.greatest(n - 1, F.lit(0)) * PIECE
-    begin = F.greatest(inside - radius, F.lit(0))
-    return F.substring(near, begin + 1, inside + radius - begin)
