@@ -10,6 +10,8 @@ from .operators.detectors import RULES, select_rules
 from .operators.model import SEVERITIES, severity_rank
 from .plans import baseline, config, report
 from .plans.scan import scan
+from .sinks import baselines
+from .sinks.documents import save_report
 from .sources.files import MAX_FILE_SIZE, read_files, walk
 
 
@@ -66,7 +68,8 @@ def run(argv: list[str], spark=None) -> int:
     rules = select_rules(listed(a.rules) or c.get("rules"), [*listed(a.disable_rule), *c.get("disableRules", [])])
     base = os.path.relpath(os.path.abspath(folder), home).replace(os.sep, "/")
     known_path = a.baseline or c.get("baseline") and os.path.join(home, c["baseline"])
-    known = {} if a.write_baseline else baseline.load(known_path) if known_path else baseline.load_if_present(os.path.join(folder, baseline.FILENAME))
+    table = bool(known_path) and os.path.isdir(known_path)  # a folder holds a baseline table
+    known = {} if a.write_baseline or table else baseline.load(known_path) if known_path else baseline.load_if_present(os.path.join(folder, baseline.FILENAME))
     size = a.max_file_size or c.get("maxFileSize")
     found = walk(
         a.path, a.exclude, a.include, c.get("exclude", ()), c.get("include", ()), "" if base == "." else base, respect_gitignore=not a.no_gitignore and c.get("respectGitignore", True),
@@ -78,21 +81,32 @@ def run(argv: list[str], spark=None) -> int:
         spark = SparkSession.builder.appName(report.TOOL).getOrCreate()
     files = read_files(spark, found, a.concurrency or int(c.get("concurrency", 16))).cache()
     failed = files.where("error is not null").select(files.path.alias("file"), files.error.alias("message"))
-    result = scan(files.select("path", "text").where("text is not null"), rules, baseline.table(spark, known), [*a.allow, *c.get("allow", [])], a.severity or c.get("severity", "low"), not a.no_boost, a.max_findings)
+    result = scan(files.select("path", "text").where("text is not null"), rules, baselines.current(spark, known_path) if table and not a.write_baseline else baseline.table(spark, known), [*a.allow, *c.get("allow", [])], a.severity or c.get("severity", "low"), not a.no_boost, a.max_findings)
     result.errors = result.errors.unionByName(failed)
     if found.errors:
         result.errors = result.errors.unionByName(spark.createDataFrame(found.errors, "file string, message string"))
+    if a.write_baseline and (a.write_baseline.endswith("/") or os.path.isdir(a.write_baseline)):
+        version = baselines.merge(spark, a.write_baseline, baselines.entries(result.findings))
+        print(f"version {version} of {a.write_baseline} written", file=sys.stderr)
+        return 0
     if a.write_baseline:
         n = baseline.write(result.findings, a.write_baseline)
         print(f"{n} findings accepted in {a.write_baseline}", file=sys.stderr)
         return 0
     skipped = found.skipped + failed.count()
+    if a.output and a.format in ("json", "sarif"):
+        save_report(result, a.output, a.format, a.path, skipped, a.show_suppressed)
+        return exit_code(a, c, result)
     text = render(a, result, skipped)
     if a.output:
         with open(a.output, "w", encoding="utf-8") as f:
             f.write(text)
     else:
         sys.stdout.write(text)
+    return exit_code(a, c, result)
+
+
+def exit_code(a, c: dict, result) -> int:
     bar = a.fail_on or c.get("failOn", "high")
     return int(bar != "never" and bool(result.findings.where(result.findings["rank"] >= severity_rank(bar)).take(1)))
 

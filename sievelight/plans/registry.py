@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import GlobSet
 from ..functions.regex import java, matches
-from ..functions.shared import written
+from ..functions.shared import shared_dir, written
 from ..functions.text import column_of, fingerprint, line_of
 from ..operators import detectors as D
 from ..operators.model import SEVERITIES
 from ..operators.patterns import PATTERNS
 from ..operators.prose import AGENT_FILES, AGENT_FOLDERS, BASENAMES, EXTENSIONS, family_of, is_agent_file, prepare
+from ..sinks import baselines
 from ..sources.files import DEFAULT_EXCLUDES
 from ..sources.tables import quoted, seeded, seeded_sql
 from . import proof
@@ -255,3 +256,12 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that found more in a file than is reported."""
     return scan(seeded(spark, sf_dir)).errors
+
+
+@proven(_proof("""SELECT a.fingerprint, a.rule_id AS rule, a.file, a.line, left(a.snippet, 200) AS snippet, CASE WHEN a.critical THEN 'reviewed' END AS note, CAST(CASE WHEN a.critical THEN 2 ELSE 1 END AS BIGINT) AS version
+  FROM (SELECT *, severity = 'critical' AS critical, row_number() OVER (PARTITION BY fingerprint ORDER BY severity = 'critical' DESC, rank, file DESC, line DESC, "column" DESC, ord DESC, match_ord DESC) AS k FROM judged WHERE NOT hidden) a WHERE k = 1"""))
+def merged_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A baseline of all findings, merged with a review of the critical ones: the later entry of a fingerprint counts."""
+    found = scan(seeded(spark, sf_dir)).findings
+    first = baselines.merged(baselines.current(spark, f"{shared_dir(spark)}/none"), baselines.entries(found), 1)
+    return baselines.merged(first, baselines.entries(found.where("severity = 'critical'"), "reviewed"), 2).drop("ordinal")

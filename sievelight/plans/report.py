@@ -1,4 +1,5 @@
-"""Report formats.  Line formats are DataFrames; documents (JSON, SARIF, human) are put together from ordered rows on the driver."""
+"""Report formats.  Line formats are DataFrames; documents (JSON, SARIF, human) are put together from ordered rows on the driver, for terminals;
+:mod:`..sinks.documents` writes JSON and SARIF of any size."""
 
 from __future__ import annotations
 
@@ -72,24 +73,25 @@ def json_report(result: Scan, root: str, skipped: int = 0, show_suppressed: bool
     return json.dumps(report, indent=2, ensure_ascii=False) + "\n"
 
 
+def sarif_rule(r: Rule) -> dict:
+    return {
+        "id": r.id, "name": re.sub("[^A-Za-z0-9]", "", r.title), "shortDescription": {"text": r.title}, "fullDescription": {"text": r.message},
+        "defaultConfiguration": {"level": SARIF_LEVEL[SEVERITIES[r.severity]]}, "properties": {"tags": ["security", "prompt-injection", r.family], "security-severity": SARIF_SCORE[SEVERITIES[r.severity]]},
+    }
+
+
+def sarif_result(r: dict) -> dict:
+    return {
+        "ruleId": r["rule_id"], "level": SARIF_LEVEL[r["severity"]], "message": {"text": r["message"]},
+        "properties": {"security-severity": SARIF_SCORE[r["severity"]], "fingerprint": r["fingerprint"]}, "partialFingerprints": {f"{TOOL}Fingerprint": r["fingerprint"]},
+        "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"], "uriBaseId": "%SRCROOT%"}, "region": {"startLine": r["line"], "startColumn": r["column"], "snippet": {"text": r["snippet"]}}}}],
+    }
+
+
 def sarif_report(result: Scan, rules: list[Rule] | None = None) -> str:
     rows = _rows(result.findings)
     used = {r["rule_id"] for r in rows}
-    described = [
-        {
-            "id": r.id, "name": re.sub("[^A-Za-z0-9]", "", r.title), "shortDescription": {"text": r.title}, "fullDescription": {"text": r.message},
-            "defaultConfiguration": {"level": SARIF_LEVEL[SEVERITIES[r.severity]]}, "properties": {"tags": ["security", "prompt-injection", r.family], "security-severity": SARIF_SCORE[SEVERITIES[r.severity]]},
-        }
-        for r in rules or RULES if r.id in used
-    ]
-    results = [
-        {
-            "ruleId": r["rule_id"], "level": SARIF_LEVEL[r["severity"]], "message": {"text": r["message"]},
-            "properties": {"security-severity": SARIF_SCORE[r["severity"]], "fingerprint": r["fingerprint"]}, "partialFingerprints": {f"{TOOL}Fingerprint": r["fingerprint"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["file"], "uriBaseId": "%SRCROOT%"}, "region": {"startLine": r["line"], "startColumn": r["column"], "snippet": {"text": r["snippet"]}}}}],
-        }
-        for r in rows
-    ]
+    described, results = [sarif_rule(r) for r in rules or RULES if r.id in used], [sarif_result(r) for r in rows]
     driver = {"name": TOOL, "version": VERSION, "rules": described}
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, indent=2, ensure_ascii=False) + "\n"
 
@@ -117,9 +119,12 @@ def human_report(result: Scan, root: str, skipped: int = 0, quiet: bool = False,
         mine = [r for r in rows if r["severity"] == severity]
         if mine:
             out += [f"{paint(severity.upper(), COLORS[severity])} ({len(mine)})", ""]
-        for file in dict.fromkeys(r["file"] for r in mine):
+        files: dict[str, list[dict]] = {}
+        for r in mine:
+            files.setdefault(r["file"], []).append(r)
+        for file, group in files.items():
             out.append(f"  {paint(file, '36;4')}")
-            for r in (x for x in mine if x["file"] == file):
+            for r in group:
                 out += [f"    {r['line']}:{r['column']}  {r['rule_title']}  {r['rule_id']}", f"       > {r['context'] or r['snippet']}"]
                 out += textwrap.wrap(r["message"], 72, initial_indent=" " * 7, subsequent_indent=" " * 9)
                 if "boosted_by" in r:

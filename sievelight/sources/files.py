@@ -62,7 +62,7 @@ def walk(root: str, exclude=(), include=(), scoped_exclude=(), scoped_include=()
         return out
     excludes = GlobSet([*(DEFAULT_EXCLUDES if default_excludes else ()), *exclude])
     wanted, far_excludes, far_wanted = GlobSet(include), GlobSet(scoped_exclude), GlobSet(scoped_include)
-    seen: set[str] = set()
+    seen = {os.path.realpath(root)}
     stack: list[tuple[str, list]] = [("", [])]
     while stack:
         folder, ignores = stack.pop()
