@@ -253,7 +253,7 @@ def decode(ids: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tuple[np.
 def _encoded(vocab: Vocabulary, alpha: float, seed: int):
     def run(batches):
         for batch in batches:
-            for part in K.slices(batch, "text", 3 << 19):
+            for part in K.slices(batch, "text", 3 << 18):
                 doc = part.column("doc_id")
                 keys = pc.fill_null(doc, -(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 ids, offsets = encode(part.column("text"), keys, vocab, alpha, seed)
