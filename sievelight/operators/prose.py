@@ -66,6 +66,13 @@ def family_of(path: Column) -> Column:
     return F.coalesce(by_name, F.when(name.startswith("Dockerfile"), "hash"), by_extension, F.lit("document"))
 
 
+def family_name(path: str) -> str:
+    """:func:`family_of` of one path."""
+    name = path.rsplit("/", 1)[-1]
+    by_extension = _BY_EXTENSION.get("." + name.rsplit(".", 1)[1].lower(), "document") if "." in name[1:] else "document"
+    return _BY_NAME.get(name) or ("hash" if name.startswith("Dockerfile") else by_extension)
+
+
 def is_agent_file(path: Column) -> Column:
     low = F.lower(path)
     return F.coalesce(basename(low).isin(AGENT_FILES) | low.isin(AGENT_FILES) | low.rlike(AGENT_FOLDERS), F.lit(False))

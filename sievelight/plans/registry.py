@@ -23,6 +23,7 @@ from ..sources.tables import quoted, seeded, seeded_sql
 from . import proof
 from .report import compact_lines, github_lines, severity_counts
 from .scan import enrich, judge, raw_findings, scan
+from .table_function import register
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,3 +266,12 @@ def merged_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(seeded(spark, sf_dir)).findings
     first = baselines.merged(baselines.current(spark, f"{shared_dir(spark)}/none"), baselines.entries(found), 1)
     return baselines.merged(first, baselines.entries(found.where("severity = 'critical'"), "reviewed"), 2).drop("ordinal")
+
+
+@proven(_proof("""SELECT doc_id, rule AS rule_id, CAST(n AS INTEGER) AS pattern, CAST(idx AS INTEGER) AS idx, m AS "match", prose, CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INTEGER) AS line,
+  CAST(length(regexp_extract(head, '[^\\n]*$')) + len(regexp_extract_all(regexp_extract(head, '[^\\n]*$'), '[\\x{10000}-\\x{10FFFF}]')) + 1 AS INTEGER) AS "column"
+  FROM (SELECT *, left(text, idx) AS head FROM placed)"""))
+def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of all patterns by the table function, in a lateral join of SQL."""
+    register(spark)
+    return spark.sql("SELECT d.doc_id, m.* FROM {docs} d, LATERAL text_matches(d.path, d.text, CAST(NULL AS STRING), true) m", docs=seeded(spark, sf_dir))
