@@ -85,8 +85,8 @@ class Pattern:
 class Rule:
     """A detector: patterns, a function from a document's columns to an array of raw findings, or a Python function.
 
-    ``scan`` must not raise: Spark cannot tell one expression's error from another's.  ``call`` takes (path, text) and yields
-    ``(offset, match, rank or None, message or None)``; where it raises, the file gets an error row and the other rules go on.
+    ``call`` takes (path, text) and yields ``(offset, match, rank or None, message or None)``.  Where a pattern, ``scan`` or ``call`` raises, the file gets
+    an error row for that rule, and the other rules go on; a pattern's ``confirm`` and ``report`` must not raise.
     ``dedupe``: of overlapping matches the first and longest counts.
     """
 

@@ -6,7 +6,7 @@ run the whole plan (lexer, gates, confirmation, deduplication, correlation, supp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.globs import GlobSet
@@ -14,7 +14,7 @@ from ..functions.regex import java, matches
 from ..functions.shared import shared_dir, written
 from ..functions.text import column_of, fingerprint, line_of
 from ..operators import detectors as D
-from ..operators.model import SEVERITIES
+from ..operators.model import RAWS, SEVERITIES, Rule, raw
 from ..operators.patterns import PATTERNS
 from ..operators.prose import AGENT_FILES, AGENT_FOLDERS, BASENAMES, EXTENSIONS, family_of, is_agent_file, prepare
 from ..sinks import baselines
@@ -275,3 +275,24 @@ def text_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All matches of all patterns by the table function, in a lateral join of SQL."""
     register(spark)
     return spark.sql("SELECT d.doc_id, m.* FROM {docs} d, LATERAL text_matches(d.path, d.text, CAST(NULL AS STRING), true) m", docs=seeded(spark, sf_dir))
+
+
+def _shares(doc) -> Column:
+    """Divides by zero where a text's length is divisible by 7."""
+    return F.when(F.floor(F.lit(100) / (F.length(doc.text) % 7)) >= 50, F.array(raw(F.lit(0), F.left(doc.text, F.lit(5))))).otherwise(F.array().cast(RAWS))
+
+
+@proven(f"""SELECT path AS file, CASE length(text) % 7 WHEN 0 THEN 'rule own/share failed on this file, which it did not check: its expression raised an error' ELSE 'Own.' END AS message,
+  CASE length(text) % 7 WHEN 0 THEN 'error' ELSE 'finding' END AS kind FROM ({seeded_sql()}) WHERE length(text) % 7 <= 2""")
+def guarded_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule whose expression raises in some rows, beside all others: its findings and its errors."""
+    own = Rule("own/share", "Own", "own", 1, "Own.", scan=_shares)
+    result = scan(seeded(spark, sf_dir), rules=[own, *D.RULES], boost=False)
+    kinds = lambda df, kind: df.select("file", "message", F.lit(kind).alias("kind"))
+    found = judged_of(result, own.id)
+    return kinds(found, "finding").unionByName(kinds(result.errors.where(F.col("message").startswith(f"rule {own.id} ")), "error"))
+
+
+def judged_of(result, rule_id: str) -> DataFrame:
+    """A rule's findings, suppressed ones too."""
+    return result.findings.unionByName(result.suppressed).where(F.col("rule_id") == rule_id)

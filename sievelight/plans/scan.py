@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.guard import attempt
 from ..functions.regex import WIDE
 from ..functions.shared import written
 from ..functions.text import fingerprint, line_window, narrow, take, truncate, visualize
@@ -141,7 +142,13 @@ def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
     else:
         docs = docs.withColumn("why", none)
     for i, r in own:
-        sources.append(_numbered(i, r.scan(doc)))
+        if r.scan is agent_file:
+            sources.append(_numbered(i, r.scan(doc)))
+            continue
+        # an expression that raises in a row is an error of its rule there, and nothing else fails
+        docs = _once(docs, f"own_{i}", attempt(F.coalesce(r.scan(doc).cast(RAWS), F.array().cast(RAWS))))
+        sources.append(_numbered(i, F.coalesce(f"own_{i}", F.array().cast(RAWS))))
+        docs = docs.withColumn("why", F.when(F.col(f"own_{i}").isNull(), F.concat("why", F.array(_failure(F.lit(r.id), F.lit("its expression raised an error"))))).otherwise(F.col("why")))
     failed = F.col("why")
     if any(r.call for r in rules):
         c = F.col("called")
