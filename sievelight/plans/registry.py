@@ -296,3 +296,25 @@ def guarded_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged_of(result, rule_id: str) -> DataFrame:
     """A rule's findings, suppressed ones too."""
     return result.findings.unionByName(result.suppressed).where(F.col("rule_id") == rule_id)
+
+
+#: Globs of ignore files, the column they judge, and the regular expression that they mean (the last: one set of two, the later takes back).
+_GLOBS = {
+    "one_character": (["en/?5"], "path", "^en/[^/]5(/.*)?$"),
+    "any_folders": (["**/en/*5"], "below_host", "^(.*/)?en/[^/]*5(/.*)?$"),
+    "classes": (["[ef][!s]/[1-3]*"], "path", "^[ef][^s]/[1-3][^/]*(/.*)?$"),
+    "anchored": (["/de"], "path", "^de(/.*)?$"),
+    "anywhere": (["4*"], "below_host", "^(.*/)?4[^/]*(/.*)?$"),
+    "inner_folders": (["blog.*/**/7??"], "below_host", "^blog\\.[^/]*/(.*/)?7[^/][^/](/.*)?$"),
+    "taken_back": (["*.html", "!**/en/*.html"], "below_host", None),
+}
+_PAGE_PATHS = "SELECT page_id, regexp_extract(url, '^[^:]*://[^/]*/([^?#]*)', 1) AS path, regexp_extract(url, '^[^:]*://([^?#]*)', 1) AS below_host FROM pages"
+
+
+@proven(f"""SELECT page_id, {', '.join(f"regexp_matches({on}, {quoted(meant)}) AS {name}" for name, (_, on, meant) in _GLOBS.items() if meant)},
+  ends_with(below_host, '.html') AND NOT regexp_matches(below_host, '^(.*/)?en/[^/]*\\.html$') AS taken_back FROM ({_PAGE_PATHS})""")
+def globbed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of glob matches among the page paths."""
+    path = lambda pattern: F.regexp_extract("url", pattern, 1)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", path(r"^[^:]*://[^/]*/([^?#]*)").alias("path"), path(r"^[^:]*://([^?#]*)").alias("below_host"))
+    return pages.select("page_id", *[GlobSet(globs).column(F.col(on)).alias(name) for name, (globs, on, _) in _GLOBS.items()])
