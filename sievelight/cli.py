@@ -13,6 +13,7 @@ from .plans.scan import scan
 from .sinks import baselines
 from .sinks.documents import save_report
 from .sources.files import MAX_FILE_SIZE, read_files, walk
+from .sources.tree import Filters, read_tree, tree
 
 
 def parser() -> argparse.ArgumentParser:
@@ -59,32 +60,35 @@ def run(argv: list[str], spark=None) -> int:
     if a.list_rules:
         sys.stdout.write(rules_text())
         return 0
-    if not os.path.exists(a.path):
+    remote = "://" in a.path  # listed and read by tasks; configuration and baselines beside it are not looked for
+    if not remote and not os.path.exists(a.path):
         raise FileNotFoundError(f"no such path: {a.path}")
     folder = a.path if os.path.isdir(a.path) else os.path.dirname(os.path.abspath(a.path))
-    c, source = ({}, None) if a.no_config else config.load(folder)
+    c, source = ({}, None) if a.no_config or remote else config.load(folder)
     home = os.path.dirname(source) if source else folder
     # the command line wins over the file, the file over defaults; lists add up, but rules replace
     rules = select_rules(listed(a.rules) or c.get("rules"), [*listed(a.disable_rule), *c.get("disableRules", [])])
     base = os.path.relpath(os.path.abspath(folder), home).replace(os.sep, "/")
     known_path = a.baseline or c.get("baseline") and os.path.join(home, c["baseline"])
     table = bool(known_path) and os.path.isdir(known_path)  # a folder holds a baseline table
-    known = {} if a.write_baseline or table else baseline.load(known_path) if known_path else baseline.load_if_present(os.path.join(folder, baseline.FILENAME))
+    known = {} if a.write_baseline or table else baseline.load(known_path) if known_path else {} if remote else baseline.load_if_present(os.path.join(folder, baseline.FILENAME))
     size = a.max_file_size or c.get("maxFileSize")
-    found = walk(
-        a.path, a.exclude, a.include, c.get("exclude", ()), c.get("include", ()), "" if base == "." else base, respect_gitignore=not a.no_gitignore and c.get("respectGitignore", True),
-        max_file_size=int(size * 1024) if size else MAX_FILE_SIZE, follow_symlinks=a.follow_symlinks or c.get("followSymlinks", False),
-    )
+    limit = int(size * 1024) if size else MAX_FILE_SIZE
+    filters = dict(exclude=(*a.exclude,), include=(*a.include,), scoped_exclude=(*c.get("exclude", ()),), scoped_include=(*c.get("include", ()),), base="" if base == "." else base, respect_gitignore=not a.no_gitignore and c.get("respectGitignore", True), max_file_size=limit, follow_symlinks=a.follow_symlinks or c.get("followSymlinks", False))
     if spark is None:
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName(report.TOOL).getOrCreate()
-    files = read_files(spark, found, a.concurrency or int(c.get("concurrency", 16))).cache()
+    tasks = a.concurrency or int(c.get("concurrency", 16))
+    if remote:
+        found = tree(spark, a.path, Filters(**filters), tasks)
+        files, unread = read_tree(a.path, found, tasks).cache(), found.errors
+    else:
+        found = walk(a.path, **filters)
+        files, unread = read_files(spark, found, tasks).cache(), spark.createDataFrame(found.errors, "file string, message string")
     failed = files.where("error is not null").select(files.path.alias("file"), files.error.alias("message"))
     result = scan(files.select("path", "text").where("text is not null"), rules, baselines.current(spark, known_path) if table and not a.write_baseline else baseline.table(spark, known), [*a.allow, *c.get("allow", [])], a.severity or c.get("severity", "low"), not a.no_boost, a.max_findings)
-    result.errors = result.errors.unionByName(failed)
-    if found.errors:
-        result.errors = result.errors.unionByName(spark.createDataFrame(found.errors, "file string, message string"))
+    result.errors = result.errors.unionByName(failed).unionByName(unread)
     if a.write_baseline and (a.write_baseline.endswith("/") or os.path.isdir(a.write_baseline)):
         version = baselines.merge(spark, a.write_baseline, baselines.entries(result.findings))
         print(f"version {version} of {a.write_baseline} written", file=sys.stderr)

@@ -24,6 +24,18 @@ def test_exit_codes_and_baseline(spark, tree, capsys, tmp_path_factory):
     assert cli.main([str(tree / "none")]) == 2 and cli.main(["--list-rules"]) == 0
 
 
+def test_uri_output_file_and_baseline_table(spark, tree, tmp_path_factory):
+    out = tmp_path_factory.mktemp("out")
+    for kind in ("json", "sarif"):
+        assert cli.run([f"file://{tree}", "-f", kind, "-o", str(out / kind)], spark) == 1
+    report = json.loads((out / "json").read_text(encoding="utf-8"))
+    assert report["summary"]["total"] == len(report["findings"]) == 2 and report["summary"]["filesScanned"] == 2
+    assert len(json.loads((out / "sarif").read_text(encoding="utf-8"))["runs"][0]["results"]) == 2
+    known = str(out / "known") + "/"
+    assert cli.run([str(tree), "--write-baseline", known], spark) == 0
+    assert cli.run([str(tree), "-b", known, "-f", "compact"], spark) == 0
+
+
 def test_config(tree):
     (tree / "sub").mkdir()
     (tree / "package.json").write_text('{"sievelight": {"severity": "high", "allow": ["x"]}}')
