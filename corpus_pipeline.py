@@ -20,6 +20,13 @@ from sievelight.llm.substring_dedup import strip_texts
 
 
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB, unless the session sets a size: each is held several times over, by the JVM and by a worker, in every task."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, "8m")
 
 
 def _apart(stage):
@@ -27,6 +34,7 @@ def _apart(stage):
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _small_batches(spark)
         names = docs.columns
         inner = [n if n in KNOWN and names.index(n) == j else f"other_{j}" for j, n in enumerate(names)]
         return stage(spark, docs.toDF(*inner), sf_dir).toDF(*names)
@@ -82,6 +90,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text has no pieces; repeated rows are all returned; an empty table gives none.
     """
+    _small_batches(spark)
     encoded = encode_documents(docs, alpha=1.0, seed=8)
     return encoded.join(_places(docs), F.col("doc_id").eqNullSafe(F.col("_id"))).select(*encoded.columns, "mix_pos")
 
