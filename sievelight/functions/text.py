@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ CONTROL_NAMES = {
 }
 
 
+def constants(table: dict[str, str]) -> Column:
+    """A map of constants.  It reaches Spark as one literal, which the optimiser folds, not as a call for each entry."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units; Spark counts code points."""
     return F.length(text) + F.regexp_count(text, F.lit(SUPPLEMENTARY))
@@ -74,7 +81,7 @@ _SPECIAL = r"[\x00-\x1f\x7f\x{00ad}\x{061c}\x{180e}\x{200b}-\x{206f}\x{3164}\x{f
 
 def visualize(text: Column) -> Column:
     """Invisible and control characters spelled out; other text unchanged.  Text without any costs one search."""
-    names = F.create_map(*[F.lit(x) for kv in _SHOWN.items() for x in kv])
+    names = constants(_SHOWN)
 
     def char_form(c):
         code = F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")

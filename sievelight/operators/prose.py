@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, extension
+from ..functions.text import basename, constants, extension
 
 # Language families as (line comments, block comments, strings); a triple-quoted or back-quoted string spans lines.
 FAMILIES = {
@@ -61,8 +61,7 @@ _BY_NAME = {n: family for family, names in BASENAMES.items() for n in names.spli
 def family_of(path: Column) -> Column:
     """The language family of a path: by exact name, then ``Dockerfile*``, then extension, else a document."""
     name = basename(path)
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    by_name, by_extension = F.element_at(table(_BY_NAME), name), F.element_at(table(_BY_EXTENSION), extension(name))
+    by_name, by_extension = F.element_at(constants(_BY_NAME), name), F.element_at(constants(_BY_EXTENSION), extension(name))
     return F.coalesce(by_name, F.when(name.startswith("Dockerfile"), "hash"), by_extension, F.lit("document"))
 
 

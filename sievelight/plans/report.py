@@ -13,6 +13,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import constants
 from ..operators.detectors import RULES
 from ..operators.model import SEVERITIES, Rule
 from .scan import FINDING, Scan
@@ -45,7 +46,7 @@ def _property(text: Column) -> Column:
 
 def github_lines(findings: DataFrame) -> DataFrame:
     """Workflow annotations, one ``line`` per finding."""
-    level = F.element_at(F.create_map(*[F.lit(x) for kv in COMMAND.items() for x in kv]), F.col("severity"))
+    level = F.element_at(constants(COMMAND), F.col("severity"))
     parts = [F.lit("::"), level, F.lit(" file="), _property(F.col("file")), F.lit(",line="), F.col("line").cast("string"), F.lit(",col="), F.col("column").cast("string"), F.lit(",title="), _property(F.concat(F.lit(f"{TOOL}: "), F.col("rule_title"))), F.lit("::"), _data(F.concat(F.col("message"), F.lit(" ("), F.col("rule_id"), F.lit(")")))]
     return findings.select(F.concat(*parts).alias("line"))
 
