@@ -90,6 +90,19 @@ def _called(rules: list[Rule]):
     return F.pandas_udf(run, "rule_ord array<int>, idx array<int>, match array<string>, severity array<int>, message array<string>, failed array<string>")
 
 
+_BUILT: dict = {}
+
+
+def _kept(name: tuple | str, rules: list[Rule], make):
+    """What ``make`` gives, made once in a session for the same rules: columns hold names, not tables, and building large ones takes seconds."""
+    key = (SparkSession.active().sparkContext.applicationId, name, tuple(rules))
+    if key not in _BUILT:
+        if len(_BUILT) > 200:  # of rules made anew again and again
+            _BUILT.clear()
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
 def _failure(rule_id: Column, why: Column) -> Column:
     return F.concat(F.lit("rule "), rule_id, F.lit(" failed on this file, which it did not check: "), why)
 
@@ -136,9 +149,9 @@ def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
         # a rule of which a pattern failed has no findings in that file, but an error
         broken = F.array_distinct(F.transform("m.failed", lambda f: rule_of(f["k"])))
         docs = docs.withColumn("why", F.when(F.size("m.failed") > 0, F.transform(broken, lambda i: _failure(_of([r.id for r in rules], i), F.filter("m.failed", lambda f: rule_of(f["k"]) == i)[0]["why"]))).otherwise(none))
-        whole_rules = F.when(F.size("m.failed") > 0, F.filter("m.hits", lambda h: ~F.array_contains(broken, rule_of(h["k"])))).otherwise(F.col("m.hits"))
-        docs = _once(docs, "fine", F.filter(whole_rules, confirmed))
-        sources.append(F.transform(F.filter(F.transform("fine", reported), lambda r: r["x"].isNotNull()), lambda r: _tagged(r["rule"], r["x"])))
+        whole_rules = lambda: F.when(F.size("m.failed") > 0, F.filter("m.hits", lambda h: ~F.array_contains(broken, rule_of(h["k"])))).otherwise(F.col("m.hits"))
+        docs = _once(docs, "fine", _kept("fine", rules, lambda: F.filter(whole_rules(), confirmed)))
+        sources.append(_kept("reported", rules, lambda: F.transform(F.filter(F.transform("fine", reported), lambda r: r["x"].isNotNull()), lambda r: _tagged(r["rule"], r["x"]))))
     else:
         docs = docs.withColumn("why", none)
     for i, r in own:
@@ -171,8 +184,8 @@ def raw_findings(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame
         one = F.array(F.struct(*[x[c].alias(c) for c in ("rule_ord", "idx", "match", "severity", "message", "detail")], n.alias("match_ord")))
         return F.struct(e["rule"].alias("rule"), F.when(fits, e["a"] - e["b"]).otherwise(acc["to"]).alias("to"), F.when(fits, n + 1).otherwise(n).alias("n"), F.when(fits & (n < MOST_PER_RULE), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"), F.when(same, acc["over"]).otherwise(more(acc)).alias("over"))
 
-    done = F.aggregate(F.array_sort(F.transform("found", key)), start, sweep, lambda acc: F.struct(acc["out"].alias("raw"), more(acc).alias("over")))
-    return _once(docs, "swept", done).select("path", "text", "agent_file", "swept.raw", "swept.over", "failed")
+    done = lambda: F.aggregate(F.array_sort(F.transform("found", key)), start, sweep, lambda acc: F.struct(acc["out"].alias("raw"), more(acc).alias("over")))
+    return _once(docs, "swept", _kept("swept", rules, done)).select("path", "text", "agent_file", "swept.raw", "swept.over", "failed")
 
 
 def _numbered(i: int, found: Column) -> Column:
@@ -217,23 +230,25 @@ def enrich(found: DataFrame, rules: list[Rule] | None = None, boost: bool = True
     rows = found.select("path", "agent_file", kinds.alias("kinds"), F.explode_outer(F.concat(one, bad)).alias("e")).where("e is not null")
     rows = rows.select("path", "agent_file", "kinds", "e.f", "e.p", "e.error")
     rule = F.col("f.rule_ord")
-    rows = rows.select(
+    first = lambda: [
         F.col("path").alias("file"), "agent_file", "kinds", "error", of("id", rule).alias("rule_id"), of("title", rule).alias("rule_title"), of("family", rule).alias("family"),
         F.coalesce("f.severity", of("severity", rule)).alias("base"), "p.line", "p.column", "p.own", "p.above",
         visualize(take(F.col("f.match"), SNIPPET)).alias("shown"), narrow(line_window(F.col("p.left"), F.col("p.behind"), CONTEXT)).alias("window"), F.coalesce("f.message", of("message", rule)).alias("message"),
         "f.detail", "f.rule_ord", "f.match_ord", fingerprint(of("id", rule), F.col("path"), F.col("f.match")).alias("fingerprint"),
-    )
+    ]
+    rows = rows.select(*_kept("first", rules, first))
     raises = (F.col("family") != "agent-config") if boost else F.lit(False)
     many, auto = raises & (F.col("kinds") >= FAMILIES_TO_BOOST), raises & F.col("agent_file")
     rank = bump(F.col("base"), many.cast("int") + auto.cast("int"))
     why = F.concat_ws("; ", F.when(many, F.concat(F.col("kinds").cast("string"), F.lit(" distinct techniques in this file"))), F.when(auto, "agents load this file by themselves"))
     # each step is a projection of its own, so that no long expression is repeated inside another
-    rows = rows.withColumns({"window": visualize(F.regexp_replace("window", rf"^[\s{WIDE}]+|[\s{WIDE}]+\z", "")), "rank": rank, "why": why})
-    return rows.select(
+    rows = rows.withColumns({"window": _kept("window", rules, lambda: visualize(F.regexp_replace("window", rf"^[\s{WIDE}]+|[\s{WIDE}]+\z", ""))), "rank": rank, "why": why})
+    last = lambda: [
         "rule_id", "rule_title", "family", severity_name(F.col("rank")).alias("severity"), severity_name(F.col("base")).alias("base_severity"), "file", "line", "column",
         truncate(F.col("shown"), SNIPPET).alias("snippet"), truncate(F.col("window"), CONTEXT).alias("context"), "message", "fingerprint", F.nullif("why", F.lit("")).alias("boosted_by"), "detail", *ORDER,
         "rank", F.when(F.col("own").isNotNull() | F.col("above").isNotNull(), ignored_inline(F.col("own"), F.col("above"), F.col("rule_id"), marker)).otherwise(F.lit(False)).alias("ignored"), "error",
-    )
+    ]
+    return rows.select(*_kept(("last", marker), rules, last))
 
 
 def allowed(patterns: list[str]) -> Column:
