@@ -112,6 +112,31 @@ SELECT page_id, host, path, rule,
 FROM ruled LEFT JOIN bad ON ruled.canonical = bad.canonical
 """
 
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(array_to_string(ws[k:k + 4], ' ')) AS shingle
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS k FROM w WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, far) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.far = e.a),
+low AS (SELECT doc_id, min(far) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN low USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+SUBSTRING_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, k, array_to_string(ws[k:k + 19], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS k FROM w WHERE len(ws) >= 20)),
+again AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS n FROM windows) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 20)) AS k FROM again),
+each AS (SELECT doc_id, ws[k] AS word, k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS words, count(*) AS n FROM each ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
 NEGATIVE_SQL = r"""
 WITH r AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
@@ -190,4 +215,4 @@ SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_d
 FROM all_of
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op4_line_quality": LINE_SQL, "op6_pfair_mixing": MIX_SQL, "op11_kronecker_hard_negatives": NEGATIVE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_filter": URL_SQL, "op4_line_quality": LINE_SQL, "op6_pfair_mixing": MIX_SQL, "op11_kronecker_hard_negatives": NEGATIVE_SQL, "op3_minhash_near_dedup": NEAR_SQL, "op10_substring_dedup": SUBSTRING_SQL}
