@@ -31,16 +31,17 @@ from .common import pick, written
 
 EPS = np.finfo(np.float64).eps
 EXACT = 1 << 53
-BLOCK = 2048  # rows in one record of the stored matrix
+BLOCK, BYTES = 2048, 1 << 21  # rows in one record of the stored matrix, and its size, at most
 
 
 def _packer(scale: int, shift: int, width: int):
     """Rows in blocks: their ids and the matrix of integers as bytes."""
+    rows = max(1, min(BLOCK, BYTES // (8 * width)))
 
     def run(batches):
         for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(s, BLOCK)
+            for s in range(0, batch.num_rows, rows):
+                part = batch.slice(s, rows)
                 v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 x = np.floor(scale * v).astype(np.int64) + shift
                 ids = part.column("vec_id")
