@@ -17,7 +17,7 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..operators.detectors import RULES, select_rules
 from ..operators.matching import Lines, matcher
-from ..operators.prose import family_name, normalise, spans
+from ..operators.prose import family_name, lexed
 
 NAME = "text_matches"
 
@@ -50,8 +50,7 @@ class TextMatches:
             return
         chosen = _chosen(only)
         family = family_name(path)
-        found = [] if family == "document" else spans(text, family)
-        seen = normalise(text, found)
+        seen, found = lexed(text, family)
         starts, ends = [s for s, _, _ in found], [e for _, e, _ in found]
         hits, failed = matcher(tuple(spec for *_, spec in chosen)).hits(seen, starts, ends, family == "document")
         if failed:

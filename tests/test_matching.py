@@ -121,3 +121,41 @@ def test_text_without_hits_is_cheap():
     began = time.process_time()
     assert matcher.hits(text, [], [], True) == ([], [])
     assert (time.process_time() - began) / (len(text) / 1e6) < 0.5
+
+
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def test_every_text_passes_each_function_once(spark):
+    files = spark.createDataFrame([("a.py", "# ignore previous rules"), ("b.md", "fine")], "path string, text string")
+    assert python_steps(enrich(raw_findings(files))) == 2
+    own = Rule("own/none", "Own", "own", 1, "Own.", scan=lambda doc: F.array().cast(RAWS))
+    assert python_steps(enrich(raw_findings(files, [own, *RULES]))) == 2
+
+
+def test_results_are_gathered_in_pieces():
+    import gc
+
+    import pyarrow as pa
+
+    from sievelight.functions.shared import PIECE, gathered
+
+    class Held(str):
+        alive = 0
+
+        def __init__(self, *_):
+            Held.alive += 1
+
+        def __del__(self):
+            Held.alive -= 1
+
+    def rows(most=[0]):  # noqa: B006
+        for i in range(400):
+            most[0] = max(most[0], Held.alive)
+            yield PIECE // 4, Held(i)
+        assert most[0] <= 6
+
+    gc.collect()
+    assert gathered(rows(), pa.string()).equals(pa.array([str(i) for i in range(400)]))
+    assert gathered(iter([]), pa.string()).equals(pa.array([], pa.string()))
