@@ -159,3 +159,17 @@ def test_results_are_gathered_in_pieces():
     gc.collect()
     assert gathered(rows(), pa.string()).equals(pa.array([str(i) for i in range(400)]))
     assert gathered(iter([]), pa.string()).equals(pa.array([], pa.string()))
+
+
+def test_prose_spans_lexes_once(spark):
+    from sievelight.plans.registry import QUERIES
+
+    assert python_steps(QUERIES["prose_spans"](spark, "/root/testdata/sf0.001")) == 1
+
+
+def test_changed_texts_and_spans(spark):
+    from sievelight.operators.prose import prepare
+
+    rows = [("a.js", "// one\n// two\nx"), ("b.js", "x"), ("c.md", "// one\n// two"), ("d.js", None)]
+    got = {r.path: (r.rule_text, [tuple(s) for s in r.spans]) for r in prepare(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a.js": ("// one\n   two\nx", [(2, 13, "comment")]), "b.js": ("x", []), "c.md": ("// one\n// two", [(0, 13, "document")]), "d.js": (None, [])}
