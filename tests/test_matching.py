@@ -6,6 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sievelight.functions.regex import java
 from sievelight.functions.text import FILL
 from sievelight.operators.detectors import RULES
 from sievelight.operators.matching import Lines, Matcher, around, compiled, filled, line_around
@@ -173,3 +174,20 @@ def test_changed_texts_and_spans(spark):
     rows = [("a.js", "// one\n// two\nx"), ("b.js", "x"), ("c.md", "// one\n// two"), ("d.js", None)]
     got = {r.path: (r.rule_text, [tuple(s) for s in r.spans]) for r in prepare(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"a.js": ("// one\n   two\nx", [(2, 13, "comment")]), "b.js": ("x", []), "c.md": ("// one\n// two", [(0, 13, "document")]), "d.js": (None, [])}
+
+
+def test_literals_guard_the_regex_queries(spark):
+    from sievelight.functions.regex import needles
+    from sievelight.operators.patterns import PATTERNS
+    from sievelight.plans.registry import QUERIES, _there
+
+    for name in ("trust_assertions", "instruction_overrides", "agent_targeting"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Contains(low#" in plan, name
+    rng, payloads = random.Random(3), list(PAYLOADS.values())
+    texts = [*payloads, *(p.upper() for p in payloads), *("".join(rng.sample(payloads, 2)) for _ in range(20)), "İ System: you", "K IGNORE PRIOR RULES ſ"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", F.lower("text")).cache()
+    for rule, listed in PATTERNS.items():
+        for p in listed:
+            flags = "im" if p.startswith("^") else "i"
+            assert docs.where(F.col("text").rlike(java(p, flags)) & ~_there(needles(p))).count() == 0, (rule, p)
