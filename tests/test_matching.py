@@ -191,3 +191,26 @@ def test_literals_guard_the_regex_queries(spark):
         for p in listed:
             flags = "im" if p.startswith("^") else "i"
             assert docs.where(F.col("text").rlike(java(p, flags)) & ~_there(needles(p))).count() == 0, (rule, p)
+
+
+def test_runs_and_rare_characters_are_found_as_bytes():
+    from sievelight.operators.matching import marks
+
+    assert marks(r"[\x{2000}-\x{206F}\x00]{3,}")[0] == {0, 0xE2} and marks("[a-c]{24}")[2] == 24
+    assert marks("[z-a]+") is marks("[^a]+") is marks("(?i)[a]+") is marks("x[a]") is None
+    matcher = Matcher(SPECS)
+    assert len(matcher.candidates("Plain words, Übermut und naïveté.\r\n\tNothing else.\n" * 50)) <= 1
+    # every candidate left out would have found nothing
+    rng = random.Random(7)
+    pieces = ["\x07", "\x7f", "\U000e0041", "︀︁︂", "﻿", "​", "ɐаbc", "w" * 23, "+/aZ09" * 4, " " * 199, "\xa0\x85" * 100 + "seen from here", "\ud800", " word ", "\n"]
+    for _ in range(300):
+        text = "".join(rng.choices(pieces, k=rng.randrange(1, 6)))
+        left_out = set(range(len(SPECS))) - set(matcher.candidates(text))
+        assert not [k for k, *_ in plain(text) if k in left_out and (SPECS[k][1] is None or compiled(SPECS[k][1]).search(text))], ascii(text)
+
+
+def test_literals_are_joined_with_short_choices():
+    from sievelight.functions.regex import needles
+
+    assert needles("x(?:a|b)y") == (("xay", "xby"),) and needles("ai (?:agent|model)s?") == (("ai agent", "ai model"),)
+    assert needles("x(?:a|b)+y") == (("x",), ("a", "b"), ("y",)) and needles("a(?:|b)c") == (("abc", "ac"),)
