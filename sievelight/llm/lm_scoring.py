@@ -13,7 +13,8 @@ shares of words outside it.
     window to window until its document ends (a longer document is dealt to lanes in stretches of ``stretch`` tokens, so that no
     lane runs on alone).  In each of ``rounds`` rounds every partition trains from the
     common weights on its own documents of that round (one in ``every`` by a hash: whole texts, in
-    proportion to the input), and the results are averaged, weighted by tokens, in a tree of groups of 16.
+    proportion to the input), and the results are averaged, weighted by tokens, in a tree of groups of 16.  As a model grows with
+    the root of the input, a round has no more partitions than models fit into an eighth of the input (but as many as Spark runs at once).
 *   Scoring: all whole texts, lanes as in training, state carried across windows, reset at each document's start.
 *   Counts of words outside the ``head`` most frequent go to documents as in :mod:`.sharded`: keys
     pre-aggregated per slice meet the shard of the count table that holds them; sums per document return.
@@ -123,6 +124,7 @@ class Network:
 
     def freeze(self):
         self.table = self.p["emb"] @ self.p["wx"] + self.p["b"]
+        self.frozen = self.outputs()
         return self
 
     def outputs(self):
@@ -130,6 +132,13 @@ class Network:
         p = self.p
         return np.column_stack([p["wc"], p["bc"]]), np.column_stack([p["ww"], p["bw"]])
 
+    def spare(self, kind):
+        """Room for the gradients of the tokens' outputs."""
+        room = getattr(self, "_spare", None)
+        if room is None or room[0].dtype != kind:
+            room = self._spare = tuple(np.empty_like(self.p[k], kind) for k in ("ww", "bw"))
+        return room
+
     def by_class(self, tokens):
         """An order of tokens by class, and in it their classes, places inside, and the offsets of each class."""
         group = self.group[tokens]
@@ -165,7 +174,7 @@ class Network:
 
     def log_prob(self, states, tokens):
         """Natural log probabilities of tokens after states, both flat."""
-        (wc, ww), (order, group, place, cuts) = self.outputs(), self.by_class(tokens)
+        (wc, ww), (order, group, place, cuts) = getattr(self, "frozen", None) or self.outputs(), self.by_class(tokens)
         states, back = with_one(states[order]), np.empty(len(tokens), states.dtype)
         *_, mine, sums = self.inner(states, ww, place, cuts)
         kind, _, whole = softmax_parts(states @ wc.T, group)
@@ -191,11 +200,16 @@ class Network:
         parts, e, at, mine, sums = self.inner(flat, ww, place, cuts)
         e[at] -= sums
         share = (scale / sums)[:, None]
-        scaled, g, more = flat * share, np.zeros_like(ww), np.empty_like(back)
+        # the large gradients are whole arrays, which makes what passes over them cheap, and are kept from window to window
+        scaled, more, (g, bias) = flat[:, :-1] * share, np.empty_like(back), self.spare(flat.dtype)
+        for k in np.flatnonzero(np.diff(cuts) == 0).tolist():
+            g[self.bounds[k] : self.bounds[k + 1]] = bias[self.bounds[k] : self.bounds[k + 1]] = 0
+        share_of = share[:, 0]
         for i, j, lo, hi, e in parts:
             np.matmul(e.T, scaled[i:j], out=g[lo:hi])
+            np.matmul(share_of[i:j], e, out=bias[lo:hi])
             np.matmul(e, p["ww"][lo:hi], out=more[i:j])
-        grads |= {"ww": g[:, :-1], "bw": g[:, -1]}
+        grads |= {"ww": g, "bw": bias}
         back += more * share
         log += float((mine - np.log(sums)).sum())
         d_states = np.zeros((mask.size, n), flat.dtype)
@@ -225,14 +239,17 @@ class Network:
         d_emb = dgx @ p["wx"].T
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         cut = F32(min(1.0, 1.0 / max(norm, 1e-9)))
-        for name, g in grads.items():
-            g *= cut
-            squares[name] += g * g
-            root = np.sqrt(squares[name])
-            root += F32(1e-4)
-            g /= root
-            g *= rate
-            p[name] -= g
+        for name, whole in grads.items():
+            for at in range(0, len(whole), 1024):  # rows that stay in the cache from one pass to the next
+                g, squared, weights = (x[at : at + 1024] for x in (whole, squares[name], p[name]))
+                g *= cut
+                root = g * g
+                squared += root
+                np.sqrt(squared, out=root)
+                root += F32(1e-4)
+                g /= root
+                g *= rate
+                weights -= g
         ids = prev.ravel()
         order = np.argsort(ids, kind="stable")
         head = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
@@ -366,24 +383,25 @@ def _trained(net: Network, tokens: Tokens, lanes: int, window: int, stretch: int
     return run
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    n = table.column("n").to_numpy()
-    total = None
-    for share, blob in zip((n / n.sum()).tolist(), table.column("blob"), strict=True):
-        part = np.frombuffer(blob.as_py(), F32) * F32(share)
-        total = part if total is None else total + part
-    return pa.table({"i": pa.array([table.column("i")[0].as_py() // 16], pa.int64()), "n": pa.array([float(n.sum())]), "blob": pa.array([total.tobytes()], pa.binary())})
-
-
-def _averaged(parts: DataFrame, net: Network) -> None:
-    """Sets the network's weights to the mean of the partitions', sixteen at a time."""
-    schema = "i long, n double, blob binary"
-    left = parts.count()
-    top = parts.agg(F.max("i")).first()[0]
-    while top is not None and top >= 16:
-        parts = written(parts.groupBy(F.floor(F.col("i") / 16).alias("g")).applyInArrow(_mean, schema))
-        top //= 16
-    rows = parts.collect() if left else []  # at most 16 rows of one model each
+def _mean(batches):
+    """The mean of the models of a task, weighted by tokens, one model in hand."""
+    i, n, total = None, 0.0, None
+    for batch in batches:
+        for at, weight, blob in zip(batch.column("i").to_pylist(), batch.column("n").to_pylist(), batch.column("blob"), strict=True):
+            part = np.frombuffer(blob.as_buffer(), F32) * F32(weight)
+            i, n, total = at, n + weight, part if total is None else np.add(total, part, out=total)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n]), pa.array([(total / F32(n)).tobytes()], pa.binary())], names=["i", "n", "blob"])
+
+
+def _averaged(parts: DataFrame, net: Network, fan: int = 16) -> None:
+    """Sets the network's weights to the mean of the partitions', ``fan`` tasks' at a time, read where they were written: nothing is exchanged."""
+    left = parts.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // fan)
+        parts = parts.coalesce(left).mapInArrow(_mean, "i long, n double, blob binary")
+        parts = written(parts) if left > 1 else parts
+    rows = parts.collect()  # one model, or none
     if rows:
         n = np.array([r.n for r in rows])
         flat = sum(np.frombuffer(r.blob, F32) * F32(s) for r, s in zip(rows, n / n.sum(), strict=True))
@@ -393,6 +411,11 @@ def _averaged(parts: DataFrame, net: Network) -> None:
             at += v.size
 
 
+def tasks_for(bytes_read: int, model_bytes: int, least: int) -> int:
+    """How many tasks of a round may each write a model: all of them together at most an eighth of what is read."""
+    return max(least, bytes_read // (8 * model_bytes))
+
+
 def _scored(net: Network, tokens: Tokens, head: Lookup, tail_logs: np.ndarray, end_log: float, end_known: bool, lanes: int, window: int, shards: int):
     """Model scores, the head's part of the base sums, and requests for the counts of other words."""
 
@@ -495,9 +518,11 @@ def score_documents(docs: DataFrame, vocabulary: int | None = None, hidden: int
     k = len(top["word"])
     tokens = Tokens(Lookup(top["word"].view(np.uint64), number[:k]), number[k + 1 :], int(number[k]))
     net = Network(frequency[order] / frequency.sum(), hidden, classes, seed)
+    spark = docs.sparkSession
+    tasks = tasks_for(4 * train_tokens, sum(v.nbytes for v in net.p.values()), spark.sparkContext.defaultParallelism)
     for r in range(rounds):
         mine = learn.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(every)) == r % every).select("text")
-        _averaged(written(mine.mapInArrow(_trained(net, tokens, train_lanes, train_window, stretch, rate), "i long, n double, blob binary")), net)
+        _averaged(written(mine.coalesce(tasks).mapInArrow(_trained(net, tokens, train_lanes, train_window, stretch, rate), "i long, n double, blob binary")), net)
     known_heads = Lookup(heads["word"].view(np.uint64), np.log10(heads["n"] + 0.5))
     scanned = written(rows.mapInArrow(_scored(net, tokens, known_heads, tail_logs, math.log10(ends + 0.5), ends > 0, lanes, window, shards), PASS))
     asked = scanned.where("shard is not null")

@@ -162,3 +162,18 @@ def test_supplied_table(spark):
         assert abs(r.base_score - sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) < 1e-6 * len(ws) + 1e-6
     mine = [r for r in got if r.held_out]
     assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
+
+
+def test_models_are_averaged_where_they_were_written(spark, monkeypatch):
+    net = small()
+    size, kept = sum(v.size for v in net.p.values()), []
+    models = np.random.default_rng(5).normal(size=(40, size)).astype(np.float32)
+    n = np.arange(1.0, 41)
+    monkeypatch.setattr(L, "written", lambda df: kept.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    parts = spark.createDataFrame([(i, float(n[i]), bytearray(models[i].tobytes())) for i in range(40)], "i long, n double, blob binary").repartition(40)
+    L._averaged(parts, net)
+    want = (models * (n / n.sum())[:, None]).sum(axis=0)
+    assert np.allclose(np.concatenate([v.ravel() for v in net.p.values()]), want, atol=1e-5)
+    assert kept and all("Coalesce" in p and p.count("Exchange") <= 1 for p in kept)  # the one that deals the rows above
+    # all models of a round together are at most an eighth of the input, whatever the number of partitions
+    assert L.tasks_for(32_000_000_000, 40_000_000, 8) == 100 and L.tasks_for(10, 1000, 8) == 8
