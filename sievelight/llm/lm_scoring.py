@@ -88,56 +88,64 @@ class Network:
         }
 
     def run(self, h, prev, reset, keep: bool):
-        """States after each of the (steps, lanes) inputs; with ``keep``, also what backpropagation needs."""
+        """States after each of the (steps, lanes) inputs; with ``keep``, also what backpropagation needs, as (steps, features, lanes).
+
+        Inside, features lie over lanes, so that what numpy passes over in a step are long rows.
+        """
         p, n = self.p, self.hidden
         steps, lanes, kind = *prev.shape, p["wh"].dtype
-        states = np.empty((steps, lanes, n), kind)
-        cache = {}
-        if keep:
-            x = p["emb"][prev.ravel()]
-            gates = (x @ p["wx"] + p["b"]).reshape(steps, lanes, 3 * n)
-            cache = {"x": x, "h": np.empty((steps, lanes, n), kind), "zr": np.empty((steps, lanes, 2 * n), kind), "c": np.empty((steps, lanes, n), kind), "gc": np.empty((steps, lanes, n), kind)}
-        half, one = F32(0.5), F32(1)
-        gh, gx, zr, c = (np.empty((lanes, k * n), kind) for k in (3, 3, 2, 1))
+        half, one, top, stay, opens, held = F32(0.5), F32(1), F32(80), 1 - reset, reset.any(axis=1), steps if keep else 1
+        # sigmoid(x) is 1 / (1 + exp(-x)) and tanh(x) is 1 - 2 / (1 + exp(2x)), cheaper than numpy's tanh; the factors go into the weights
+        factor = np.append(np.full(2 * n, -1), np.full(n, 2)).astype(kind)[:, None]
+        x, wh = with_one(p["emb"].take(prev.ravel(), axis=0)).reshape(steps, lanes, n + 1), np.ascontiguousarray(p["wh"].T) * factor
+        gates = np.matmul(np.column_stack([p["wx"].T, p["b"]]) * factor, x.transpose(0, 2, 1))
+        states, olds, c, gc = np.empty((steps, n, lanes), kind), *(np.empty((held, n, lanes), kind) for _ in range(3))
+        zr, gh, h = np.empty((held, 2 * n, lanes), kind), np.empty((3 * n, lanes), kind), np.ascontiguousarray(h.T)
         for t in range(steps):
+            at = t if keep else 0
+            if opens[t]:
+                h = h * stay[t]
+            np.dot(wh, h, out=gh)
+            both, new = zr[at], c[at]
+            np.add(gates[t, : 2 * n], gh[: 2 * n], out=both)
+            np.minimum(both, top, out=both)
+            np.exp(both, out=both)
+            both += one
+            np.divide(one, both, out=both)
+            np.multiply(both[n:], gh[2 * n :], out=new)
+            new += gates[t, 2 * n :]
+            np.minimum(new, top, out=new)
+            np.exp(new, out=new)
+            new += one
+            np.divide(-2 * one, new, out=new)
+            new += one
             if keep:
-                gx, zr, c = gates[t], cache["zr"][t], cache["c"][t]
-            else:
-                np.take(self.table, prev[t], axis=0, out=gx, mode="clip")
-            if reset[t].any():
-                h = h * (one - reset[t])[:, None]
-            np.matmul(h, p["wh"], out=gh)
-            np.add(gx[:, : 2 * n], gh[:, : 2 * n], out=zr)
-            zr *= half
-            np.tanh(zr, out=zr)
-            zr *= half
-            zr += half
-            np.multiply(zr[:, n:], gh[:, 2 * n :], out=c)
-            c += gx[:, 2 * n :]
-            np.tanh(c, out=c)
-            if keep:
-                cache["h"][t], cache["gc"][t] = h, gh[:, 2 * n :]
-            h = np.subtract(h, c, out=states[t])
-            h *= zr[:, :n]
-            h += c
-        return h, states, cache
+                olds[t] = h
+                np.multiply(gh[2 * n :], half, out=gc[t])
+            h = np.subtract(h, new, out=states[t])
+            h *= both[:n]
+            h += new
+        return h.T, states.transpose(0, 2, 1), {"x": x, "h": olds, "zr": zr, "c": c, "gc": gc} if keep else {}
 
     def freeze(self):
-        self.table = self.p["emb"] @ self.p["wx"] + self.p["b"]
         self.frozen = self.outputs()
         return self
 
     def outputs(self):
-        """Weights of the classes and of the tokens of each class, biases as the last column."""
-        p = self.p
-        return np.column_stack([p["wc"], p["bc"]]), np.column_stack([p["ww"], p["bw"]])
-
-    def spare(self, kind):
-        """Room for the gradients of the tokens' outputs."""
-        room = getattr(self, "_spare", None)
-        if room is None or room[0].dtype != kind:
-            room = self._spare = tuple(np.empty_like(self.p[k], kind) for k in ("ww", "bw"))
-        return room
+        """Weights of the classes and of the tokens of each class, biases as the last column; valid until the next call."""
+        p, out = self.p, []
+        for at, (w, b) in enumerate((("wc", "bc"), ("ww", "bw"))):
+            room = self.room(f"outputs{at}", (len(p[w]), self.hidden + 1), p[w].dtype)
+            room[:, :-1], room[:, -1] = p[w], p[b]
+            out.append(room)
+        return tuple(out)
+
+    def room(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
+        """An array that is kept from window to window."""
+        kept = self.__dict__.setdefault("_rooms", {})
+        if name not in kept or kept[name].shape != shape or kept[name].dtype != kind:
+            kept[name] = np.empty(shape, kind)
+        return kept[name]
 
     def by_class(self, tokens):
         """An order of tokens by class, and in it their classes, places inside, and the offsets of each class."""
@@ -159,7 +167,7 @@ class Network:
         for k in np.flatnonzero(count).tolist():
             i, j, lo, hi = rows[k], rows[k + 1], tokens[k], tokens[k + 1]
             e = flat[limits[k] - (j - i) * (hi - lo) : limits[k]].reshape(j - i, hi - lo)
-            np.matmul(x[i:j], ww[lo:hi].T, out=e)
+            np.dot(x[i:j], ww[lo:hi].T, out=e)  # has less to do before a small product than matmul
             parts.append((i, j, lo, hi, e))
         at = np.repeat(ends - count * width, count) + (np.arange(len(x)) - np.repeat(cuts[:-1], count)) * np.repeat(width, count) + place
         if len(flat) and max(flat.max(), -flat.min()) > 60:
@@ -169,16 +177,19 @@ class Network:
         np.exp(flat, out=flat)
         ones = np.ones(int(width.max()), x.dtype)
         for i, j, lo, hi, e in parts:
-            np.matmul(e, ones[: hi - lo], out=sums[i:j])
+            np.dot(e, ones[: hi - lo], out=sums[i:j])
         return parts, flat, at, mine, sums
 
     def log_prob(self, states, tokens):
         """Natural log probabilities of tokens after states, both flat."""
         (wc, ww), (order, group, place, cuts) = getattr(self, "frozen", None) or self.outputs(), self.by_class(tokens)
-        states, back = with_one(states[order]), np.empty(len(tokens), states.dtype)
+        states, back = with_one(states.take(order, axis=0)), np.empty(len(tokens), states.dtype)
         *_, mine, sums = self.inner(states, ww, place, cuts)
-        kind, _, whole = softmax_parts(states @ wc.T, group)
-        back[order] = mine + kind - np.log(sums) - np.log(whole)
+        log = mine - np.log(sums)
+        for at in range(0, len(states), 4096):  # rows whose exponentials stay in the cache
+            kind, _, whole = softmax_parts(np.matmul(states[at : at + 4096], wc.T), group[at : at + 4096])
+            log[at : at + 4096] += kind - np.log(whole)
+        back[order] = log
         return back
 
     def step(self, h, prev, reset, tokens, mask, rate, squares):
@@ -190,7 +201,7 @@ class Network:
             return last, 0.0
         order, group, place, cuts = self.by_class(tokens.ravel()[rows].astype(np.int64))
         rows, scale = rows[order], F32(1 / len(rows))
-        flat, (wc, ww) = with_one(states.reshape(-1, n)[rows]), self.outputs()
+        flat, (wc, ww) = with_one(states.reshape(-1, n).take(rows, axis=0)), self.outputs()
         # rows are scaled on their narrow side, not in the exponentials
         mine, e, sums = softmax_parts(flat @ wc.T, group)
         e[np.arange(len(rows)), group] -= sums
@@ -201,48 +212,47 @@ class Network:
         e[at] -= sums
         share = (scale / sums)[:, None]
         # the large gradients are whole arrays, which makes what passes over them cheap, and are kept from window to window
-        scaled, more, (g, bias) = flat[:, :-1] * share, np.empty_like(back), self.spare(flat.dtype)
+        scaled, more, g, bias = flat[:, :-1] * share, np.empty_like(back), *(self.room(k, p[k].shape, flat.dtype) for k in ("ww", "bw"))
         for k in np.flatnonzero(np.diff(cuts) == 0).tolist():
             g[self.bounds[k] : self.bounds[k + 1]] = bias[self.bounds[k] : self.bounds[k + 1]] = 0
         share_of = share[:, 0]
         for i, j, lo, hi, e in parts:
-            np.matmul(e.T, scaled[i:j], out=g[lo:hi])
-            np.matmul(share_of[i:j], e, out=bias[lo:hi])
-            np.matmul(e, p["ww"][lo:hi], out=more[i:j])
+            np.dot(e.T, scaled[i:j], out=g[lo:hi])
+            np.dot(share_of[i:j], e, out=bias[lo:hi])
+            np.dot(e, p["ww"][lo:hi], out=more[i:j])
         grads |= {"ww": g, "bw": bias}
         back += more * share
         log += float((mine - np.log(sums)).sum())
+        steps, lanes = prev.shape
         d_states = np.zeros((mask.size, n), flat.dtype)
         d_states[rows] = back
-        d_states = d_states.reshape(states.shape)
-        dh = np.zeros_like(h)
-        wht = np.ascontiguousarray(p["wh"].T)
-        dgx, dgh = np.empty((2, *prev.shape, 3 * n), flat.dtype)
-        z, r, c, gc = cache["zr"][:, :, :n], cache["zr"][:, :, n:], cache["c"], cache["gc"]
+        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, n).transpose(0, 2, 1))
+        wh, dgx, dgh = p["wh"], *np.empty((2, steps, 3 * n, lanes), flat.dtype)
+        dh, stay, opens = np.zeros((n, lanes), flat.dtype), 1 - reset, reset.any(axis=1)
+        z, r, c, gc = cache["zr"][:, :n], cache["zr"][:, n:], cache["c"], cache["gc"]
         # what does not depend on later steps, for the whole window at once
         to_c, to_z, to_r = (1 - z) * (1 - c * c), (cache["h"] - c) * z * (1 - z), gc * r * (1 - r)
-        for t in range(len(prev) - 1, -1, -1):
+        for t in range(steps - 1, -1, -1):
             dh += d_states[t]
-            dc = dh * to_c[t]
-            g = dgh[t]
-            np.multiply(dh, to_z[t], out=g[:, :n])
-            np.multiply(dc, to_r[t], out=g[:, n : 2 * n])
-            np.multiply(dc, r[t], out=g[:, 2 * n :])
-            dgx[t, :, 2 * n :] = dc
-            dh = dh * z[t]
-            dh += g @ wht
-            if reset[t].any():
-                dh *= (1 - reset[t])[:, None]
-        dgx[:, :, : 2 * n] = dgh[:, :, : 2 * n]
-        dgx, dgh = dgx.reshape(-1, 3 * n), dgh.reshape(-1, 3 * n)
-        grads["wx"], grads["wh"], grads["b"] = cache["x"].T @ dgx, cache["h"].reshape(-1, n).T @ dgh, dgx.sum(axis=0)
-        d_emb = dgx @ p["wx"].T
+            g, dc = dgh[t], np.multiply(dh, to_c[t], out=dgx[t, 2 * n :])
+            np.multiply(dh, to_z[t], out=g[:n])
+            np.multiply(dc, to_r[t], out=g[n : 2 * n])
+            np.multiply(dc, r[t], out=g[2 * n :])
+            dh *= z[t]
+            dh += np.dot(wh, g)
+            if opens[t]:
+                dh *= stay[t]
+        dgx[:, : 2 * n] = dgh[:, : 2 * n]
+        g = (dgx @ cache["x"]).sum(axis=0)
+        grads["wx"], grads["b"], grads["wh"] = g[:, :-1].T, g[:, -1], (cache["h"] @ dgh.transpose(0, 2, 1)).sum(axis=0)
+        d_emb = (dgx.transpose(0, 2, 1) @ p["wx"].T).reshape(-1, n)
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
         cut = F32(min(1.0, 1.0 / max(norm, 1e-9)))
         for name, whole in grads.items():
             for at in range(0, len(whole), 1024):  # rows that stay in the cache from one pass to the next
                 g, squared, weights = (x[at : at + 1024] for x in (whole, squares[name], p[name]))
-                g *= cut
+                if cut < 1:
+                    g *= cut
                 root = g * g
                 squared += root
                 np.sqrt(squared, out=root)
@@ -251,12 +261,15 @@ class Network:
                 g *= rate
                 weights -= g
         ids = prev.ravel()
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")  # two counting sorts
+        order = order[np.argsort((ids >> 16).astype(np.uint16)[order], kind="stable")]
         head = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
-        g = np.add.reduceat(d_emb[order], head, axis=0) * cut
-        row = ids[order][head]
-        squares["emb"][row] += g * g
-        p["emb"][row] -= rate * g / (np.sqrt(squares["emb"][row]) + F32(1e-4))
+        g, row = np.add.reduceat(d_emb.take(order, axis=0), head, axis=0), ids[order[head]]
+        g *= cut
+        squared = squares["emb"].take(row, axis=0)
+        squared += g * g
+        squares["emb"][row] = squared
+        p["emb"][row] -= rate * g / (np.sqrt(squared) + F32(1e-4))
         return last, -log
 
 

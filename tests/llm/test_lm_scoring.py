@@ -177,3 +177,23 @@ def test_models_are_averaged_where_they_were_written(spark, monkeypatch):
     assert kept and all("Coalesce" in p and p.count("Exchange") <= 1 for p in kept)  # the one that deals the rows above
     # all models of a round together are at most an eighth of the input, whatever the number of partitions
     assert L.tasks_for(32_000_000_000, 40_000_000, 8) == 100 and L.tasks_for(10, 1000, 8) == 8
+
+
+def test_states_lie_by_step_with_lanes_last_and_stay_finite():
+    """Passes over a step go over whole rows of lanes; gates far out of the exponential's range end at 0, 1 and -1."""
+    net, rng = perturbed(small()), np.random.default_rng(6)
+    prev, reset, h = rng.integers(0, 12, (4, 7)), np.zeros((4, 7), np.float32), rng.normal(size=(7, 5)).astype(np.float32)
+    with np.errstate(over="raise", invalid="raise", divide="raise"):
+        last, states, cache = net.run(h, prev, reset, True)
+        assert last.shape == (7, 5) and states.shape == (4, 7, 5)
+        assert [cache[k].shape for k in ("zr", "c", "gc", "h")] == [(4, 10, 7), (4, 5, 7), (4, 5, 7), (4, 5, 7)] and all(cache[k].flags.c_contiguous for k in ("zr", "c"))
+        p, want = net.p, h
+        for t in range(4):
+            gx, gh = p["emb"][prev[t]] @ p["wx"] + p["b"], want @ p["wh"]
+            z, r = (1 / (1 + np.exp(-(gx + gh)[:, i : i + 5])) for i in (0, 5))
+            want = z * want + (1 - z) * np.tanh(gx[:, 10:] + r * gh[:, 10:])
+            assert np.allclose(states[t], want, atol=1e-5)
+        for sign in (1, -1):
+            net.p["b"][:] = sign * 1e4
+            _, states, cache = net.run(h, prev, reset, True)
+            assert np.isfinite(states).all() and np.allclose(cache["c"], sign) and np.allclose(cache["zr"], max(sign, 0))
