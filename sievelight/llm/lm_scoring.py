@@ -43,6 +43,10 @@ from .sharded import Lookup, columns, pack, salts_for, shard_of, unpack
 BUCKETS = 64
 PASS = "uid long, doc_id long, held_out boolean, words long, known long, base double, score double, shard int, keys binary, size binary, docs binary, times binary"
 F32 = np.float32
+#: Exponentials that are made at once: with what belongs to them they fit the cache of a core.
+BLOCK = 1 << 16
+#: Rows of a softmax over classes in scoring.
+SCORED = 1024
 
 
 def buckets_of(words: K.Words) -> np.ndarray:
@@ -52,20 +56,14 @@ def buckets_of(words: K.Words) -> np.ndarray:
     return (last * 31 + before * 7) % BUCKETS
 
 
-def softmax_parts(logits: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The picked logits, the exponentials (in place) and their sums by row; rows are shifted only where a value could leave the range."""
-    if logits.size and max(logits.max(), -logits.min()) > 60:
-        logits -= logits.max(axis=1, keepdims=True)
-    mine = logits[np.arange(len(pick)), pick]
-    np.exp(logits, out=logits)
-    return mine, logits, logits @ np.ones(logits.shape[1], logits.dtype)
-
-
-def with_one(x: np.ndarray) -> np.ndarray:
-    """Rows with a one behind, which meets the bias."""
-    out = np.ones((len(x), x.shape[1] + 1), x.dtype)
-    out[:, :-1] = x
-    return out
+def joined(arrays: dict[str, np.ndarray], w: str, b: str) -> np.ndarray:
+    """Weights and their biases in one array, the biases last, of which ``arrays`` hold views from then on."""
+    rows, n = arrays[w].shape
+    whole = arrays[w].base
+    if whole is None or whole is not arrays[b].base or getattr(whole, "shape", None) != (rows, n + 1):
+        whole = np.column_stack([arrays[w], arrays[b]])
+        arrays[w], arrays[b] = whole[:, :n], whole[:, n]
+    return whole
 
 
 class Network:
@@ -88,64 +86,66 @@ class Network:
         }
 
     def run(self, h, prev, reset, keep: bool):
-        """States after each of the (steps, lanes) inputs; with ``keep``, also what backpropagation needs, as (steps, features, lanes).
+        """States after each of the (steps, lanes) inputs; also, as (steps, features, lanes), these with a one that meets biases, and with ``keep`` what backpropagation needs.
 
-        Inside, features lie over lanes, so that what numpy passes over in a step are long rows.
+        Inside, features lie over lanes, so that what numpy passes over in a step are long rows.  Arrays are valid until the next call.
         """
         p, n = self.p, self.hidden
         steps, lanes, kind = *prev.shape, p["wh"].dtype
-        half, one, top, stay, opens, held = F32(0.5), F32(1), F32(80), 1 - reset, reset.any(axis=1), steps if keep else 1
+        half, one, stay, opens, held = F32(0.5), F32(1), 1 - reset, reset.any(axis=1), steps if keep else 1
         # sigmoid(x) is 1 / (1 + exp(-x)) and tanh(x) is 1 - 2 / (1 + exp(2x)), cheaper than numpy's tanh; the factors go into the weights
         factor = np.append(np.full(2 * n, -1), np.full(n, 2)).astype(kind)[:, None]
-        x, wh = with_one(p["emb"].take(prev.ravel(), axis=0)).reshape(steps, lanes, n + 1), np.ascontiguousarray(p["wh"].T) * factor
-        gates = np.matmul(np.column_stack([p["wx"].T, p["b"]]) * factor, x.transpose(0, 2, 1))
-        states, olds, c, gc = np.empty((steps, n, lanes), kind), *(np.empty((held, n, lanes), kind) for _ in range(3))
-        zr, gh, h = np.empty((held, 2 * n, lanes), kind), np.empty((3 * n, lanes), kind), np.ascontiguousarray(h.T)
-        for t in range(steps):
-            at = t if keep else 0
-            if opens[t]:
-                h = h * stay[t]
-            np.dot(wh, h, out=gh)
-            both, new = zr[at], c[at]
-            np.add(gates[t, : 2 * n], gh[: 2 * n], out=both)
-            np.minimum(both, top, out=both)
-            np.exp(both, out=both)
-            both += one
-            np.divide(one, both, out=both)
-            np.multiply(both[n:], gh[2 * n :], out=new)
-            new += gates[t, 2 * n :]
-            np.minimum(new, top, out=new)
-            np.exp(new, out=new)
-            new += one
-            np.divide(-2 * one, new, out=new)
-            new += one
-            if keep:
-                olds[t] = h
-                np.multiply(gh[2 * n :], half, out=gc[t])
-            h = np.subtract(h, new, out=states[t])
-            h *= both[:n]
-            h += new
-        return h.T, states.transpose(0, 2, 1), {"x": x, "h": olds, "zr": zr, "c": c, "gc": gc} if keep else {}
+        bias = p["b"][:, None] * factor
+        wx, wh, bias, late = p["wx"].T * factor, np.column_stack([p["wh"].T * factor, bias]), bias[2 * n :], bias[2 * n :].any()
+        wh[2 * n :, n] = 0  # the candidate's bias is not behind the reset gate
+        x, s = self.room("x", (steps, lanes, n), kind), self.room("s", (steps, n + 1, lanes), kind)
+        np.take(p["emb"], prev, axis=0, out=x, mode="clip")
+        olds, c, gc, zr = (self.room(name, (held, size, lanes), kind) for name, size in (("olds", n + 1), ("c", n), ("gc", n), ("zr", 2 * n)))
+        s[:, n] = olds[:, n] = 1
+        gx, gh = (self.room(name, (3 * n, lanes), kind) for name in ("gx", "gh"))
+        h = h.T
+        with np.errstate(over="ignore"):  # beyond the exponential's range a gate is 0 and a candidate 1, as they should be
+            for t in range(steps):
+                old, both, new = (of[t if keep else 0] for of in (olds, zr, c))
+                if opens[t]:
+                    np.multiply(h, stay[t], out=old[:n])
+                else:
+                    old[:n] = h
+                np.dot(wx, x[t].T, out=gx)
+                np.dot(wh, old, out=gh)
+                np.add(gx[: 2 * n], gh[: 2 * n], out=both)
+                np.exp(both, out=both)
+                both += one
+                np.divide(one, both, out=both)
+                np.multiply(both[n:], gh[2 * n :], out=new)
+                new += gx[2 * n :]
+                if late:
+                    new += bias
+                np.exp(new, out=new)
+                new += one
+                np.divide(-2 * one, new, out=new)
+                new += one
+                if keep:
+                    np.multiply(gh[2 * n :], half, out=gc[t])
+                h = np.subtract(old[:n], new, out=s[t, :n])
+                h *= both[:n]
+                h += new
+        return h.T.copy(), s[:, :n].transpose(0, 2, 1), {"s": s, **({"x": x, "h": olds[:, :n], "zr": zr, "c": c, "gc": gc} if keep else {})}
 
     def freeze(self):
         self.frozen = self.outputs()
         return self
 
     def outputs(self):
-        """Weights of the classes and of the tokens of each class, biases as the last column; valid until the next call."""
-        p, out = self.p, []
-        for at, (w, b) in enumerate((("wc", "bc"), ("ww", "bw"))):
-            room = self.room(f"outputs{at}", (len(p[w]), self.hidden + 1), p[w].dtype)
-            room[:, :-1], room[:, -1] = p[w], p[b]
-            out.append(room)
-        return tuple(out)
+        """Weights of the classes and of the tokens of each class, biases as the last column."""
+        return joined(self.p, "wc", "bc"), joined(self.p, "ww", "bw")
 
     def room(self, name: str, shape: tuple[int, ...], kind) -> np.ndarray:
         """An array that is kept from window to window."""
-        kept = self.__dict__.setdefault("_rooms", {})
-        if name not in kept or kept[name].shape != shape or kept[name].dtype != kind:
-            kept[name] = np.empty(shape, kind)
-        return kept[name]
+        kept, size = self.__dict__.setdefault("_rooms", {}), math.prod(shape)
+        if name not in kept or len(kept[name]) < size or kept[name].dtype != kind:
+            kept[name] = np.empty(size, kind)
+        return kept[name][:size].reshape(shape)
 
     def by_class(self, tokens):
         """An order of tokens by class, and in it their classes, places inside, and the offsets of each class."""
@@ -154,106 +154,141 @@ class Network:
         group = group[order]
         return order, group, tokens[order] - self.bounds[group], np.searchsorted(group, np.arange(self.classes + 1))
 
-    def inner(self, x, ww, place, cuts):
-        """Of rows in class order, the softmax over the tokens of the row's class, all classes in one buffer.
+    def outer(self, x, wc, group, reach):
+        """Of rows, the softmax over classes: exponentials, where in them each row's class is, its logit, and the sums.
 
-        Returns (rows from, to, tokens from, to, exponentials) of each class met, the buffer, where in it each row's
-        token is, that token's logit, and the sums.
+        ``reach`` is the largest sum of a class's absolute weights; rows are shifted only where a value could leave the range.
+        """
+        e = self.room("outer", (len(x), self.classes), x.dtype)
+        np.dot(x, wc.T, out=e)
+        if reach * max(x.max(), -x.min()) > 60 and max(e.max(), -e.min()) > 60:
+            e -= e.max(axis=1, keepdims=True)
+        at = np.arange(0, e.size, self.classes)
+        at += group
+        mine = e.reshape(-1).take(at)
+        np.exp(e, out=e)
+        return e, at, mine, e @ np.ones(self.classes, e.dtype)
+
+    def inner(self, x, ww, group, place, cuts):
+        """Of rows in class order, the softmax over the tokens of the row's class, in pieces of some classes, whose exponentials fit the cache.
+
+        Yields (rows from, to, tokens from, to, exponentials) of each class met, all exponentials, where in them each row's
+        token is, that token's logit, the sums, and the first and last row.
         """
         width, count = np.diff(self.bounds), np.diff(cuts)
         ends = np.cumsum(count * width)
-        flat, sums = np.empty(int(ends[-1]), x.dtype), np.empty(len(x), x.dtype)
-        parts, limits, tokens, rows = [], ends.tolist(), self.bounds.tolist(), cuts.tolist()
-        for k in np.flatnonzero(count).tolist():
-            i, j, lo, hi = rows[k], rows[k + 1], tokens[k], tokens[k + 1]
-            e = flat[limits[k] - (j - i) * (hi - lo) : limits[k]].reshape(j - i, hi - lo)
-            np.dot(x[i:j], ww[lo:hi].T, out=e)  # has less to do before a small product than matmul
-            parts.append((i, j, lo, hi, e))
-        at = np.repeat(ends - count * width, count) + (np.arange(len(x)) - np.repeat(cuts[:-1], count)) * np.repeat(width, count) + place
-        if len(flat) and max(flat.max(), -flat.min()) > 60:
-            for *_, e in parts:
-                e -= e.max(axis=1, keepdims=True)
-        mine = flat[at]
-        np.exp(flat, out=flat)
-        ones = np.ones(int(width.max()), x.dtype)
-        for i, j, lo, hi, e in parts:
-            np.dot(e, ones[: hi - lo], out=sums[i:j])
-        return parts, flat, at, mine, sums
+        starts = (ends - (count + cuts[:-1]) * width)[group] + np.arange(len(x)) * width[group]
+        limits, tokens, rows = ends.tolist(), self.bounds.tolist(), cuts.tolist()
+        met, begun, base, parts = np.flatnonzero(count).tolist(), 0, 0, []
+        for k, after in zip(met, [*met[1:], None], strict=True):
+            parts.append((rows[k], rows[k + 1], tokens[k], tokens[k + 1], limits[k]))
+            if after is not None and limits[after] - base <= BLOCK:
+                continue
+            flat, done = self.room("inner", (limits[k] - base,), x.dtype), 0
+            for m, (i, j, lo, hi, to) in enumerate(parts):
+                e = flat[done : to - base].reshape(j - i, hi - lo)
+                np.dot(x[i:j], ww[lo:hi].T, out=e)  # has less to do before a small product than matmul
+                parts[m], done = (i, j, lo, hi, e), to - base
+            if max(flat.max(), -flat.min()) > 60:
+                for *_, e in parts:
+                    e -= e.max(axis=1, keepdims=True)
+            last = rows[k + 1]
+            first_of = starts[begun:last] - base
+            at = first_of + place[begun:last]
+            mine = flat.take(at)
+            np.exp(flat, out=flat)
+            yield parts, flat, at, mine, np.add.reduceat(flat, first_of), begun, last
+            begun, base, parts = last, limits[k], []
 
     def log_prob(self, states, tokens):
         """Natural log probabilities of tokens after states, both flat."""
+        return self.log_probs(np.column_stack([states, np.ones(len(states), states.dtype)]), tokens, np.arange(len(tokens)))
+
+    def log_probs(self, x, tokens, at):
+        """Natural log probabilities of tokens after the rows ``at`` of ``x``, states with a one each."""
         (wc, ww), (order, group, place, cuts) = getattr(self, "frozen", None) or self.outputs(), self.by_class(tokens)
-        states, back = with_one(states.take(order, axis=0)), np.empty(len(tokens), states.dtype)
-        *_, mine, sums = self.inner(states, ww, place, cuts)
-        log = mine - np.log(sums)
-        for at in range(0, len(states), 4096):  # rows whose exponentials stay in the cache
-            kind, _, whole = softmax_parts(np.matmul(states[at : at + 4096], wc.T), group[at : at + 4096])
-            log[at : at + 4096] += kind - np.log(whole)
+        x, back, log, reach = x.take(at[order], axis=0), *np.empty((2, len(tokens)), x.dtype), np.abs(wc).sum(axis=1).max()
+        for _, _, _, mine, sums, first, last in self.inner(x, ww, group, place, cuts):
+            np.subtract(mine, np.log(sums), out=log[first:last])
+        for at in range(0, len(x), SCORED):
+            _, _, mine, sums = self.outer(x[at : at + SCORED], wc, group[at : at + SCORED], reach)
+            log[at : at + SCORED] += mine - np.log(sums)
         back[order] = log
         return back
 
     def step(self, h, prev, reset, tokens, mask, rate, squares):
         """One window of truncated backpropagation with Adagrad; returns the state and the loss."""
         p, n = self.p, self.hidden
-        last, states, cache = self.run(h, prev, reset, True)
+        last, _, cache = self.run(h, prev, reset, True)
         rows = np.flatnonzero(mask.ravel())
         if not len(rows):
             return last, 0.0
+        (steps, lanes), (wc, ww) = prev.shape, self.outputs()
         order, group, place, cuts = self.by_class(tokens.ravel()[rows].astype(np.int64))
-        rows, scale = rows[order], F32(1 / len(rows))
-        flat, (wc, ww) = with_one(states.reshape(-1, n).take(rows, axis=0)), self.outputs()
+        rows, scale, n1 = rows[order], F32(1 / len(rows)), n + 1
+        flat = cache["s"].transpose(0, 2, 1).reshape(-1, n1).take(rows, axis=0)
+        kind = flat.dtype
+        back, more = (self.room(name, flat.shape, kind) for name in ("back", "more"))
+        e, at, mine, sums = self.outer(flat, wc, group, np.abs(wc).sum(axis=1).max())
+        e.reshape(-1)[at] -= sums
         # rows are scaled on their narrow side, not in the exponentials
-        mine, e, sums = softmax_parts(flat @ wc.T, group)
-        e[np.arange(len(rows)), group] -= sums
-        share = (scale / sums)[:, None]
-        g, back, log = e.T @ (flat * share), (e @ p["wc"]) * share, float((mine - np.log(sums)).sum())
-        grads = {"wc": g[:, :-1], "bc": g[:, -1]}
-        parts, e, at, mine, sums = self.inner(flat, ww, place, cuts)
-        e[at] -= sums
-        share = (scale / sums)[:, None]
-        # the large gradients are whole arrays, which makes what passes over them cheap, and are kept from window to window
-        scaled, more, g, bias = flat[:, :-1] * share, np.empty_like(back), *(self.room(k, p[k].shape, flat.dtype) for k in ("ww", "bw"))
+        share, log = (scale / sums)[:, None], float((mine - np.log(sums)).sum())
+        g_class = e.T @ (flat * share)
+        np.dot(e, wc, out=back)
+        back *= share
+        # large gradients are whole arrays, which makes what passes over them cheap, and are kept from window to window
+        g_word = self.room("ww", ww.shape, kind)
         for k in np.flatnonzero(np.diff(cuts) == 0).tolist():
-            g[self.bounds[k] : self.bounds[k + 1]] = bias[self.bounds[k] : self.bounds[k + 1]] = 0
-        share_of = share[:, 0]
-        for i, j, lo, hi, e in parts:
-            np.dot(e.T, scaled[i:j], out=g[lo:hi])
-            np.dot(share_of[i:j], e, out=bias[lo:hi])
-            np.dot(e, p["ww"][lo:hi], out=more[i:j])
-        grads |= {"ww": g, "bw": bias}
-        back += more * share
-        log += float((mine - np.log(sums)).sum())
-        steps, lanes = prev.shape
-        d_states = np.zeros((mask.size, n), flat.dtype)
+            g_word[self.bounds[k] : self.bounds[k + 1]] = 0
+        for parts, e_all, at, mine, sums, first, end in self.inner(flat, ww, group, place, cuts):
+            e_all[at] -= sums
+            share = (scale / sums)[:, None]
+            scaled = flat[first:end] * share
+            for i, j, lo, hi, e in parts:
+                np.dot(e, ww[lo:hi], out=more[i:j])
+                np.dot(e.T, scaled[i - first : j - first], out=g_word[lo:hi])
+            more[first:end] *= share
+            log += float((mine - np.log(sums)).sum())
+        back += more
+        d_states = np.zeros((mask.size, n1), kind) if len(rows) < mask.size else self.room("d_states", (mask.size, n1), kind)
         d_states[rows] = back
-        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, n).transpose(0, 2, 1))
-        wh, dgx, dgh = p["wh"], *np.empty((2, steps, 3 * n, lanes), flat.dtype)
-        dh, stay, opens = np.zeros((n, lanes), flat.dtype), 1 - reset, reset.any(axis=1)
-        z, r, c, gc = cache["zr"][:, :n], cache["zr"][:, n:], cache["c"], cache["gc"]
-        # what does not depend on later steps, for the whole window at once
-        to_c, to_z, to_r = (1 - z) * (1 - c * c), (cache["h"] - c) * z * (1 - z), gc * r * (1 - r)
+        d_states = d_states.reshape(steps, lanes, n1)
+        # by features: candidates behind the reset gate, update gates, reset gates, candidates; the first three are the state's, the last three the input's
+        d = self.room("d", (steps, 4 * n, lanes), kind)
+        d_h, d_x, wh = d[:, : 3 * n], d[:, n:], np.roll(p["wh"], n, axis=1)
+        dh, stay, opens = np.zeros((n, lanes), kind), 1 - reset, reset.any(axis=1)
+        one, spare = F32(1), self.room("spare", (n, lanes), kind)
         for t in range(steps - 1, -1, -1):
-            dh += d_states[t]
-            g, dc = dgh[t], np.multiply(dh, to_c[t], out=dgx[t, 2 * n :])
-            np.multiply(dh, to_z[t], out=g[:n])
-            np.multiply(dc, to_r[t], out=g[n : 2 * n])
-            np.multiply(dc, r[t], out=g[2 * n :])
-            dh *= z[t]
-            dh += np.dot(wh, g)
+            z, r, c, (d_c, d_z, d_r, d_new) = cache["zr"][t, :n], cache["zr"][t, n:], cache["c"][t], d[t].reshape(4, n, lanes)
+            dh += d_states[t, :, :n].T
+            np.subtract(one, z, out=spare)
+            np.multiply(dh, spare, out=d_new)
+            np.subtract(cache["h"][t], c, out=d_z)
+            d_z *= spare
+            dh_z = np.multiply(dh, z, out=dh)
+            d_z *= dh_z
+            np.multiply(c, c, out=spare)
+            np.subtract(one, spare, out=spare)
+            d_new *= spare
+            np.multiply(d_new, r, out=d_c)
+            np.subtract(one, r, out=spare)
+            np.multiply(d_c, spare, out=d_r)
+            d_r *= cache["gc"][t]
+            dh += np.dot(wh, d_h[t], out=spare)
             if opens[t]:
                 dh *= stay[t]
-        dgx[:, : 2 * n] = dgh[:, : 2 * n]
-        g = (dgx @ cache["x"]).sum(axis=0)
-        grads["wx"], grads["b"], grads["wh"] = g[:, :-1].T, g[:, -1], (cache["h"] @ dgh.transpose(0, 2, 1)).sum(axis=0)
-        d_emb = (dgx.transpose(0, 2, 1) @ p["wx"].T).reshape(-1, n)
-        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        grads = {"wx": (d_x @ cache["x"]).sum(axis=0).T, "b": d_x.sum(axis=(0, 2)), "wh": np.roll((cache["h"] @ d_h.transpose(0, 2, 1)).sum(axis=0), -n, axis=1)}
+        d_emb = np.matmul(d_x.transpose(0, 2, 1), p["wx"].T, out=self.room("d_emb", (steps, lanes, n), kind)).reshape(-1, n)
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in (g_class, g_word, *grads.values())))
         cut = F32(min(1.0, 1.0 / max(norm, 1e-9)))
-        for name, whole in grads.items():
-            for at in range(0, len(whole), 1024):  # rows that stay in the cache from one pass to the next
-                g, squared, weights = (x[at : at + 1024] for x in (whole, squares[name], p[name]))
+        large = [(g_class, joined(squares, "wc", "bc"), wc), (g_word, joined(squares, "ww", "bw"), ww)]
+        for g_all, squared_all, weights_all in [*large, *((g, squares[name], p[name]) for name, g in grads.items())]:
+            for at in range(0, len(g_all), 512):  # rows that stay in the cache from one pass to the next
+                g, squared, weights = (x[at : at + 512] for x in (g_all, squared_all, weights_all))
+                root = self.room("root", g.shape, kind)
                 if cut < 1:
                     g *= cut
-                root = g * g
+                np.multiply(g, g, out=root)
                 squared += root
                 np.sqrt(squared, out=root)
                 root += F32(1e-4)
@@ -261,15 +296,21 @@ class Network:
                 g *= rate
                 weights -= g
         ids = prev.ravel()
-        order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")  # two counting sorts
-        order = order[np.argsort((ids >> 16).astype(np.uint16)[order], kind="stable")]
-        head = np.flatnonzero(np.append(True, np.diff(ids[order]) > 0))
-        g, row = np.add.reduceat(d_emb.take(order, axis=0), head, axis=0), ids[order[head]]
+        order = np.argsort((ids & 0xFFFF).astype(np.uint16), kind="stable")  # one or two counting sorts
+        if len(p["emb"]) > 1 << 16:
+            order = order[np.argsort((ids >> 16).astype(np.uint16)[order], kind="stable")]
+        ids = ids[order]
+        head = np.flatnonzero(np.append(True, np.diff(ids) > 0))
+        g, row = np.add.reduceat(d_emb.take(order, axis=0), head, axis=0), ids[head]
         g *= cut
-        squared = squares["emb"].take(row, axis=0)
-        squared += g * g
-        squares["emb"][row] = squared
-        p["emb"][row] -= rate * g / (np.sqrt(squared) + F32(1e-4))
+        root = g * g
+        root += squares["emb"].take(row, axis=0)
+        squares["emb"][row] = root
+        np.sqrt(root, out=root)
+        root += F32(1e-4)
+        g /= root
+        g *= rate
+        p["emb"][row] = p["emb"].take(row, axis=0) - g
         return last, -log
 
 
@@ -466,9 +507,9 @@ def _scored(net: Network, tokens: Tokens, head: Lookup, tail_logs: np.ndarray, e
         total = np.zeros(batch.num_rows)
         h = np.zeros((min(lanes, batch.num_rows), net.hidden), F32)
         for live, prev, reset, tok, where, mask in lane_windows(ids, inputs(ids, first, tokens.end), first, lanes, window, 16):
-            h, states, _ = net.run(h[:live], prev, reset, False)
+            h, _, kept = net.run(h[:live], prev, reset, False)
             at = np.flatnonzero(mask.ravel())
-            log = net.log_prob(states.reshape(-1, net.hidden)[at], tok.ravel()[at].astype(np.int64))
+            log = net.log_probs(kept["s"].transpose(0, 2, 1).reshape(-1, net.hidden + 1), tok.ravel()[at].astype(np.int64), at)
             total += np.bincount(owner[where.ravel()[at]], log, batch.num_rows)
         sums, known, tails = (np.concatenate(x) for x in (sums, known, tails))
         words_in = np.diff(first) - 1

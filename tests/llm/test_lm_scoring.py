@@ -197,3 +197,27 @@ def test_states_lie_by_step_with_lanes_last_and_stay_finite():
             net.p["b"][:] = sign * 1e4
             _, states, cache = net.run(h, prev, reset, True)
             assert np.isfinite(states).all() and np.allclose(cache["c"], sign) and np.allclose(cache["zr"], max(sign, 0))
+
+
+def test_weights_lie_with_their_biases_and_exponentials_are_made_in_pieces(monkeypatch):
+    """A window copies no weights, and its softmax over words holds no more than a piece, or one class; results are those of one piece."""
+    rng = np.random.default_rng(8)
+    prev, tok, reset, mask = rng.integers(0, 12, (6, 9)), rng.integers(0, 12, (6, 9)), np.zeros((6, 9), np.float32), rng.random((6, 9)) < 0.8
+    done = []
+    for block in (1 << 16, 10):
+        monkeypatch.setattr(L, "BLOCK", block)
+        net = perturbed(small())
+        squares = {k: np.zeros_like(v) for k, v in net.p.items()}
+        for _ in range(3):
+            last, _ = net.step(np.zeros((9, 5), np.float32), prev, reset, tok, mask, np.float32(0.1), squares)
+        for whole, w, b in zip(net.outputs(), ("wc", "ww"), ("bc", "bw"), strict=True):
+            assert np.shares_memory(whole, net.p[w]) and np.shares_memory(whole, net.p[b])
+        x, tokens = rng.normal(size=(50, 5)).astype(np.float32) if not done else done[0][1], np.arange(50) % 12
+        order, group, place, cuts = net.by_class(tokens)
+        rows = np.column_stack([x, np.ones(50, np.float32)])[order]
+        pieces = [(len(parts), flat.size) for parts, flat, *_ in net.inner(rows, net.outputs()[1], group, place, cuts)]
+        assert sum(n for n, _ in pieces) == net.classes and (len(pieces) == 1) == (block > 10)
+        assert all(n == 1 or size <= block for n, size in pieces)
+        done.append((net.log_prob(x, tokens), x, last, *net.p.values()))
+    for one, many in zip(*done, strict=True):
+        assert np.allclose(one, many, atol=1e-5)
